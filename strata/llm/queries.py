@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import broken, generated, syntax
+from strata.llm import broken, generated, leaks, residue, secrets, syntax, tokenize
 from strata.runtime import table
 
 
@@ -34,5 +34,58 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
     return generated.not_hand_written(_code(spark, d), table(spark, d, "file_revs"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
-SQL: dict[str, str] = {}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, d, "bleve_docs")).select("doc_key", "line_no").distinct()
+
+
+def p7_places(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, d, "bleve_docs"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_credentials(table(spark, d, "bleve_docs"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.decode_ids(p8_ids(spark, d), "doc_id", "ids")
+
+
+P8_DECODED_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.token_counts(p8_ids(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+_WORDS_SQL = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+P9_FOUND_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k+11], ' '))) AS g FROM d WHERE len(w) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k+11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
+def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_rates, p6_found, p6_reasons, p7_found, p7_places, p7_redacted, p8_ids, p8_decoded, p8_counts, p9_found, p9_overlaps, p10_found, p10_reasons)}
+SQL = {"p8_decoded": P8_DECODED_SQL, "p9_found": P9_FOUND_SQL}
