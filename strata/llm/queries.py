@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import broken, generated, leaks, residue, secrets, syntax, tokenize
+from strata.llm import broken, generated, leaks, names, residue, secrets, syntax, tokenize
 from strata.runtime import table
 
 
@@ -26,6 +26,19 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken.rates(broken.broken_files(texts, report=False), texts, table(spark, d, "file_revs"), table(spark, d, "commits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(names.resolve(table(spark, d, "commits"), "author"))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings, their commits and the most used spelling of each entity."""
+    commits = table(spark, d, "commits")
+    known = names.resolve(commits, "author")
+    n = commits.groupBy(F.col("author").alias("spelling")).agg(F.count(F.lit(1)).alias("n"))
+    per = known.join(n, "spelling")
+    return per.groupBy("entity").agg(F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_commits"), F.max_by("spelling", F.struct("n", "spelling")).alias("name")).select("name", "n_spellings", "n_commits")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return generated.not_hand_written(_code(spark, d), table(spark, d, "file_revs")).select("blob_id").distinct()
 
@@ -69,8 +82,8 @@ _WORDS_SQL = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '
 P9_FOUND_SQL = rf"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS_SQL} AS w FROM eval_items),
-dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k+11], ' '))) AS g FROM d WHERE len(w) >= 12),
-ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), k -> array_to_string(w[k:k+11], ' '))) AS g FROM i WHERE len(w) >= 12)
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM d WHERE len(w) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
@@ -87,5 +100,5 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_rates, p6_found, p6_reasons, p7_found, p7_places, p7_redacted, p8_ids, p8_decoded, p8_counts, p9_found, p9_overlaps, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_rates, p4_found, p4_entities, p6_found, p6_reasons, p7_found, p7_places, p7_redacted, p8_ids, p8_decoded, p8_counts, p9_found, p9_overlaps, p10_found, p10_reasons)}
 SQL = {"p8_decoded": P8_DECODED_SQL, "p9_found": P9_FOUND_SQL}

@@ -185,4 +185,4 @@ def decode_ids(rows: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY
 
 def token_counts(encoded: DataFrame) -> DataFrame:
     """(token_id, n) over all ids; counted map-side first, so a frequent token is no hot key."""
-    return encoded.select(F.explode("ids").cast("long").alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
+    return encoded.select(F.explode("ids").alias("t")).select(F.col("t").cast("long").alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
