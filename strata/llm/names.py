@@ -159,45 +159,42 @@ def _typos(nodes: DataFrame) -> DataFrame:
     return close.select(F.col("node").alias("child"), F.col("n2").alias("parent")).union(same).distinct()
 
 
-def _profiles(nodes: DataFrame, entity: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What an entity can be called: (entity, initial, word) and (entity, given, word) of all its members, both ways round."""
-    mine = nodes.join(entity, "node")
-    full = mine.where("kind = 'full'")
-    turned = full.select("entity", "initials", F.col("x").alias("g"), F.col("y").alias("w")).union(full.select("entity", "initials", F.col("y"), F.col("x")))
-    letters = F.array_distinct(F.concat(F.array(F.substring("g", 1, 1)), F.filter(F.split("initials", ""), lambda i: (i != "") & (i != F.substring("w", 1, 1)))))
-    short = turned.select("entity", F.explode(letters).alias("i"), "w").union(mine.where("kind = 'init'").select("entity", F.col("x"), F.col("y"))).union(mine.where("kind = 'nick'").select("entity", F.substring("x", 1, 1), F.col("y")))
-    return short.distinct(), turned.select("entity", "g", "w").distinct()
-
+def _profiles(mine: DataFrame) -> DataFrame:
+    """(entity, named, how, part, w): what an entity can be called, by the union of its members' names and initials.
 
-def _only(cands: DataFrame) -> DataFrame:
-    """Of (node, own, entity, near): the entity of each node for which exactly one fits - of exact fits if there are any."""
-    foreign = cands.where("own <> entity").distinct()
-    best = foreign.groupBy("node").agg(F.min("near").alias("near"))
-    only = foreign.join(best, ["node", "near"]).groupBy("node", "own").agg(F.min("entity").alias("e1"), F.max("entity").alias("e2"))
-    return only.where("e1 = e2").select(F.col("node").alias("child"), F.col("e1").alias("parent"))
+    how i: an initial and a word; n: a given name and a word, both ways round; h: the letters of a login handle.
+    """
+    full = F.col("kind") == "full"
+    sides = mine.where("kind <> 'org' AND kind <> 'handle'").select("entity", "named", "kind", "initials", F.explode(F.when(full, F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("w")), F.struct(F.col("y").alias("g"), F.col("x").alias("w")))).otherwise(F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("w"))))).alias("s"))
+    sides = sides.select("entity", "named", "kind", "initials", "s.g", "s.w")
+    letters = F.when(full, F.array_distinct(F.concat(F.array(F.substring("g", 1, 1)), F.filter(F.split("initials", ""), lambda i: (i != "") & (i != F.substring("w", 1, 1)))))).otherwise(F.array(F.substring("g", 1, 1)))
+    bare = F.regexp_replace("w", "-", "")
+    called = lambda how, part, w: F.struct(F.lit(how).alias("how"), part.alias("part"), w.alias("w"))
+    short = F.flatten(F.transform(letters, lambda i: F.array(called("i", i, F.col("w")), called("h", F.lit(""), F.concat(i, bare)), called("h", F.lit(""), F.concat(bare, i)))))
+    long = F.when(full, F.array(called("n", F.col("g"), F.col("w")), called("h", F.lit(""), F.concat("g", bare)))).otherwise(F.array().cast("array<struct<how:string,part:string,w:string>>"))
+    return sides.select("entity", "named", F.explode(F.concat(short, long)).alias("c")).select("entity", "named", "c.how", "c.part", "c.w").where("named = 1 OR how = 'h'").distinct()
 
 
 def _rematch(nodes: DataFrame, entity: DataFrame) -> DataFrame:
-    """Edges from forms that leave several people possible to the only entity that fits their profile."""
-    short, long = _profiles(nodes, entity)
+    """(own, target): the entities that leave several people possible, each with the only entity whose profile fits it.
+
+    Forms and profiles are blocked together by one key, of the way they match, the exact part and a variant of the other;
+    exact fits go before fits within one error.
+    """
     mine = nodes.join(entity, "node")
-    alone = mine.select("entity", "kind").distinct().groupBy("entity").agg(F.max((F.col("kind") == "full").cast("int")).alias("named")).where("named = 0").select("entity")
-    open_ = mine.join(alone, "entity").select("node", F.col("entity").alias("own"), "kind", "x", "y")
-    init = open_.where("kind = 'init'").select("node", "own", F.col("x").alias("i"), F.col("y").alias("w0"), F.explode(_variants("y")).alias("v"))
-    named = short.join(alone, "entity", "left_anti")
-    keyed = named.select("entity", "i", F.col("w").alias("w1"), F.explode(_variants("w")).alias("v"))
-    a = init.join(keyed, ["i", "v"]).where(_one_error(F.col("w0"), F.col("w1"))).select("node", "own", "entity", (F.col("w0") != F.col("w1")).cast("int").alias("near"))
+    named = mine.groupBy("entity").agg(F.max(F.col("kind").isin("full", "org").cast("int")).alias("named"))
+    mine = cut(mine.join(named, "entity"))
     pairs = [(s, f) for s, fs in _FORMALS.items() if len(fs) > 1 for f in fs]
     formals = F.create_map(*[F.lit(x) for s in sorted({s for s, _ in pairs}) for x in (s, "|".join(f for t, f in pairs if t == s))])
-    nick = open_.where("kind = 'nick'").select("node", "own", F.explode(F.split(F.element_at(formals, F.col("x")), r"\|")).alias("g"), F.col("y").alias("w0"), F.explode(_variants("y")).alias("v"))
-    long_keyed = long.select("entity", "g", F.col("w").alias("w1"), F.explode(_variants("w")).alias("v"))
-    b = nick.join(long_keyed, ["g", "v"]).where(_one_error(F.col("w0"), F.col("w1"))).select("node", "own", "entity", (F.col("w0") != F.col("w1")).cast("int").alias("near"))
-    bare = lambda c: F.regexp_replace(c, "-", "")
-    names = short.select("entity", F.concat("i", bare("w")).alias("h")).union(short.select("entity", F.concat(bare("w"), "i"))).union(long.select("entity", F.concat("g", bare("w")))).distinct()
-    hands = open_.where("kind = 'handle'").select("node", "own", F.col("x").alias("h0"), F.explode(_variants("x")).alias("v"))
-    names_keyed = names.select("entity", F.col("h").alias("h1"), F.explode(_variants("h")).alias("v"))
-    c = hands.join(names_keyed, "v").where(_one_error(F.col("h0"), F.col("h1"))).select("node", "own", "entity", (_smooth("h0") != _smooth("h1")).cast("int").alias("near"))
-    return _only(a.union(b).union(c))
+    how = F.when(F.col("kind") == "init", "i").when(F.col("kind") == "nick", "n").otherwise("h")
+    part = F.when(F.col("kind") == "init", F.array("x")).when(F.col("kind") == "nick", F.split(F.element_at(formals, F.col("x")), r"\|")).otherwise(F.array(F.lit("")))
+    open_ = mine.where("named = 0").select("node", F.col("entity").alias("own"), how.alias("how"), F.explode(part).alias("part"), F.when(F.col("kind") == "handle", F.col("x")).otherwise(F.col("y")).alias("w0"))
+    asked = open_.select("node", "own", "how", "part", "w0", F.explode(_variants("w0")).alias("v"))
+    offered = _profiles(mine).select("entity", "how", "part", F.col("w").alias("w1"), F.explode(_variants("w")).alias("v"))
+    fits = asked.join(offered, ["how", "part", "v"]).where("own <> entity").where(_one_error(F.col("w0"), F.col("w1")))
+    fits = fits.select("own", "entity", (_smooth("w0") != _smooth("w1")).cast("int").alias("near")).distinct()
+    best = fits.groupBy("own").agg(F.min(F.struct("near", "entity")).alias("a"), F.max(F.struct(-F.col("near"), "entity")).alias("b"))
+    return best.where("a.entity = b.entity").select("own", F.col("a.entity").alias("target"))
 
 
 def resolve(df: DataFrame, column: str) -> DataFrame:
@@ -209,14 +206,16 @@ def resolve(df: DataFrame, column: str) -> DataFrame:
     spellings = df.select(F.col(column).cast("string").alias("spelling")).where("spelling IS NOT NULL AND trim(spelling) <> ''").distinct()
     forms = cut(spellings.mapInArrow(_forms, "spelling string, kind string, x string, y string, initials string").withColumn("node", F.xxhash64("kind", "x", "y")))
     nodes = cut(forms.groupBy("node", "kind", "x", "y").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("initials", ""))))), "").alias("initials")))
-    edges = cut(_typos(nodes))
+    linked = connected_components(cut(_typos(nodes))).select("node", F.col("component").alias("entity"))
+    entity = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("entity", "node").alias("entity")))
     while True:
-        linked = connected_components(edges).select("node", F.col("component").alias("entity"))
-        entity = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("entity", "node").alias("entity")))
-        more = cut(_rematch(nodes, entity))
-        if not more.limit(1).count():
+        moves = cut(_rematch(nodes, entity))
+        # where two would join each other, only the greater id moves
+        back = moves.select(F.col("own").alias("target"), F.col("target").alias("own"))
+        moves = cut(moves.join(back, ["own", "target"], "left_anti").union(moves.join(back, ["own", "target"], "left_semi").where("own > target")))
+        if not moves.limit(1).count():
             return forms.join(entity, "node").select("spelling", "entity")
-        edges = cut(edges.union(more).distinct())
+        entity = cut(entity.join(moves.withColumnRenamed("own", "entity"), "entity", "left").select("node", F.coalesce("target", "entity").alias("entity")))
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:
