@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     half = lambda c: F.shiftright(c, 1).alias(c)
     out = _split(H.hierarchy(_joint(spark, d)))
-    return out.select("graph", F.shiftright("node", 1).alias("node_id"), "on_loop", half("root"), F.col("depth").cast("long").alias("depth"), F.concat_ws("/", F.transform("path", lambda x: F.shiftright(x, 1).cast("string"))).alias("path"), half("path_anchor"), "pre", "post", F.col("descendants").cast("long").alias("descendants"), F.transform("back_edges", lambda x: F.shiftright(x, 1)).alias("back_edges"))
+    return out.select("graph", F.shiftright("node", 1).alias("node_id"), half("loop"), half("root"), F.col("depth").cast("long").alias("depth"), F.concat_ws("/", F.transform("path", lambda x: F.shiftright(x, 1).cast("string"))).alias("path"), half("path_anchor"), "pre", "post", F.col("descendants").cast("long").alias("descendants"), F.transform("back_edges", lambda x: F.shiftright(x, 1)).alias("back_edges"))
 
 
 def p1_depth(spark: SparkSession, d: str) -> DataFrame:

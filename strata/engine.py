@@ -125,6 +125,6 @@ ranked AS (SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5D) / (df + 0.5D)) * t
   FROM tf JOIN df USING (term) CROSS JOIN stats GROUP BY tf.doc_id HAVING count(*) = (SELECT count(*) FROM asked)),
 found AS (SELECT doc_id, score FROM ranked
   UNION ALL SELECT doc_id, CAST(regexp_count(content, {name}.q) AS DOUBLE) FROM {docs} WHERE {name}.is_regex AND content RLIKE {name}.q)
-SELECT f.doc_id, f.doc_id AS {key}, f.score, coalesce(substring(trim(try_element_at(filter(split(d.content, '\\n'), l -> CASE WHEN {name}.is_regex THEN l RLIKE {name}.q ELSE contains(lower(l), element_at(regexp_extract_all(lower({name}.q), '{token}', 0), 1)) END), 1)), 1, 200), '')
+SELECT f.doc_id, f.doc_id AS {key}, f.score, coalesce(substring(regexp_replace(try_element_at(filter(split(d.content, '\\n'), l -> CASE WHEN {name}.is_regex THEN l RLIKE {name}.q ELSE contains(lower(l), element_at(regexp_extract_all(lower({name}.q), '{token}', 0), 1)) END), 1), '^\\\\s+|\\\\s+$', ''), 1, 200), '')
 FROM found f JOIN {docs} d ON d.doc_id = f.doc_id
 """

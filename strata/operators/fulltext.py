@@ -137,7 +137,7 @@ def snippet(content: Column | str, needles: list[str], regex: bool = False, widt
         lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(needles[0]))
     else:
         lines = F.filter(F.split(content, "\n"), lambda x: _any_of([F.contains(F.lower(x), F.lit(n)) for n in needles]))
-    return F.coalesce(F.substring(F.trim(F.try_element_at(lines, F.lit(1))), 1, width), F.lit(""))
+    return F.coalesce(F.substring(F.regexp_replace(F.try_element_at(lines, F.lit(1)), r"^\s+|\s+$", ""), 1, width), F.lit(""))
 
 
 def _any_of(conds: list[Column]) -> Column:

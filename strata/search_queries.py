@@ -47,7 +47,7 @@ df_{name} AS (SELECT term, count(*) AS df FROM tf_{name} GROUP BY term),
   FROM tf_{name} t JOIN df_{name} USING (term), st_{name} GROUP BY t.doc_id HAVING count(*) = {len(words)})"""
 
 
-_SNIP = "coalesce(substr(trim(list_filter(string_split(d.content, chr(10)), lambda l: {test})[1]), 1, 200), '')"
+_SNIP = r"coalesce(substr(regexp_replace(list_filter(string_split(d.content, chr(10)), lambda l: {test})[1], '^\s+|\s+$', '', 'g'), 1, 200), '')"
 _CODE_FROM = "JOIN v_blobs b ON b.id = h.doc_id JOIN v_file_revs fr ON fr.blob_id = b.id JOIN v_refs r ON r.commit_id = fr.commit_id JOIN v_repos rp ON rp.id = r.repo_id WHERE r.name = 'refs/heads/main'"
 
 _search("q_code", "count:500 buffer flush", "file_path language repo score", f", {_bm25(['buffer', 'flush'], 'v_code_docs')} SELECT fr.path AS file_path, b.language, rp.name AS repo, max(h.score) AS score FROM hits h {_CODE_FROM} GROUP BY ALL ORDER BY score DESC, file_path, repo LIMIT 500")
