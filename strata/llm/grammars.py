@@ -310,7 +310,7 @@ Args: Expr % ',' ;
 
 C = """
 Unit: Ext* ;
-Ext: ';' | Decl | Specs Declr Block ;
+Ext: ';' | Decl | Specs Pointer* DirDeclr '(' Params? ')' Block ;
 Decl: Specs ';' | Specs InitDeclr % ',' ';' | '_Static_assert' '(' Cond (',' STR+)? ')' ';' ;
 Specs: Mark* Base Mark* | Mark* WORD (WORD | Mark)* ;
 Mark: STORAGE | 'static' | Qual | '_Alignas' '(' (Cond | TypeName) ')' | Attr ;

@@ -146,19 +146,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, exact_words, overlap_words, substitutions) for docs (doc_id, text) and items (item_id, text) that share a seed.
 
-    Null texts and texts of under twelve words share none. The documents are read once by a map that lets pass only
+    Null texts, texts of under twelve words and rows without an id share none. The documents are read once by a map that lets pass only
     seeds in a two-megabyte filter of the items' seeds; what passes is joined by hash (broadcast only if the items' seeds are
     estimated small, else a shuffle that adaptive execution splits where an item has leaked widely). Only documents with a
     hit are shuffled for verification.
     """
-    item_rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL").distinct()
+    item_rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
     item_seeds = item_rows.mapInArrow(lambda it: _seed_rows(it, None), "id long, seed long").withColumnRenamed("id", "item_id").distinct()
     parts = [r["bits"] for r in item_seeds.select("seed").coalesce(8).mapInArrow(_filter_of, "bits binary").collect()]
     kept = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for bits in parts:
         kept |= np.frombuffer(bytes(bits), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(kept)
-    doc_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc_text")).where("doc_text IS NOT NULL")
+    doc_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc_text")).where("doc_id IS NOT NULL AND doc_text IS NOT NULL")
     hits = doc_rows.mapInArrow(lambda it: _seed_rows(it, shared.value), "id long, seed long").withColumnRenamed("id", "doc_id")
     pairs = hits.join(broadcast_if_small(item_seeds), "seed").select("doc_id", "item_id").distinct()
     full = pairs.join(doc_rows, "doc_id").join(broadcast_if_small(item_rows), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
