@@ -203,8 +203,7 @@ def test_residue_operator(spark):
 
 def test_windows_place_residue():
     bg = np.zeros((2, residue.BUCKETS))
-    for _ in range(50):
-        for k, x in enumerate(residue._views("We check each record before the reader reaches the end of the file.")):
-            np.add.at(bg[k], x, 1)
+    for k, x in enumerate(residue._views("We check each record before the reader reaches the end of the file.")):
+        np.add.at(bg[k], x, 5_000)
     ratio = residue.model(bg)
     assert residue.windows("Lorem ipsum dolor sit amet consectetur", ratio)[1] and not residue.windows("We check each record before the reader reaches the end of the file.", ratio)[1]
