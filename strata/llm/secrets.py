@@ -186,7 +186,9 @@ def text_hits(text: str, diff: bool, automaton) -> list[tuple[int, int, int, str
             nskip = 1 if diff and nxt[:1] in ("+", "-", " ") else 0
             body = nxt[nskip:]
             n = re.match(r"[ \t]+(?:[bru]?([\"'`]))?([^\s\"'`]+)(?:\1[ \t]*[,)]?)?[ \t]*$", body)
-            if n and is_literal_secret(n.group(2), kind, bool(n.group(1))) and not SHAPES.search(body) and not re.match(r"[ \t]+[\w-]+:(?:\s|$)", body):
+            # more literals below make a table, not a credential
+            table = n and n.group(1) and re.match(r"\r?\n[-+]?[ \t]*[\"'`]", text[nstop : nstop + 200])
+            if n and not table and is_literal_secret(n.group(2), kind, bool(n.group(1))) and not SHAPES.search(body) and not re.match(r"[ \t]+[\w-]+:(?:\s|$)", body):
                 number += text.count("\n", counted, stop + 1)
                 counted = stop + 1
                 out.append((number, stop + 1 + nskip + n.start(2), stop + 1 + nskip + n.end(2), m.group(1), "pair"))
