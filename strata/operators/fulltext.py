@@ -99,7 +99,8 @@ def rank(terms: DataFrame, lengths: DataFrame, groups: list[list[Term]]) -> Data
 
     Numbers of documents are exact: each clause's matches are counted before they are weighed.
     """
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).alias("stats")).scalar()
+    n_docs, avg_len = stats["n_docs"], stats["avg_len"]
     best = None
     for g in groups:
         items = clauses(g)
@@ -111,9 +112,9 @@ def rank(terms: DataFrame, lengths: DataFrame, groups: list[list[Term]]) -> Data
             m = _matches(terms, c).select("doc_id", F.lit(i).alias("clause"), "tf", F.lit(c.boost).alias("boost"))
             hits = m if hits is None else hits.union(m)
         df = hits.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))
-        scored = hits.join(F.broadcast(df), "clause").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
-        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        scored = hits.join(F.broadcast(df), "clause").join(lengths, "doc_id")
+        idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
         per = scored.groupBy("doc_id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("met")).where(F.col("met") == len(wanted)).select("doc_id", "score")
         for c in banned:
             per = per.join(_matches(terms, c).select("doc_id"), "doc_id", "left_anti")
