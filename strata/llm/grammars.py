@@ -98,8 +98,8 @@ Case: 'case' Comma ':' Stmt* | 'default' ':' Stmt* ;
 Catch: 'catch' CatchParam? Block | 'finally' Block | 'catch' CatchParam? Block 'finally' Block ;
 Block: '{' Stmt* '}' ;
 VarWord: 'var' | 'let' | 'const' ;
-VarStmt: VarWord Var % ',' End ;
-ForHead: VarWord Var % ',' ';' Comma? ';' Comma? | CommaN ';' Comma? ';' Comma? | ';' Comma? ';' Comma? | VarWord Target 'of' Assign | VarWord Target 'in' Comma | LhsN 'of' Assign ;
+VarStmt: ('var' | 'let') Var % ',' End | 'const' ConstVar % ',' End ;
+ForHead: ('var' | 'let') Var % ',' ';' Comma? ';' Comma? | 'const' ConstVar % ',' ';' Comma? ';' Comma? | CommaN ';' Comma? ';' Comma? | ';' Comma? ';' Comma? | VarWord Target 'of' Assign | VarWord Target 'in' Comma | LhsN 'of' Assign ;
 Target: Bind | Pattern ;
 Pattern: '[' ']' | '[' PatItem % ',' ']' | '{' '}' | '{' PatProp % ',' ','? '}' ;
 PatItem: | PatElem | '...' Target ;
@@ -130,7 +130,8 @@ JAVASCRIPT = (
     + """
 Word: 'as' | 'from' | 'of' | 'get' | 'set' | 'static' | 'async' | 'let' ;
 Bind: NAME | 'as' | 'from' | 'of' | 'get' | 'set' | 'static' | 'async' ;
-Var: Target ('=' Assign)? ;
+Var: Bind ('=' Assign)? | Pattern '=' Assign ;
+ConstVar: Target '=' Assign ;
 CatchParam: '(' Target ')' ;
 Sig: '(' ')' | '(' Param % ',' ','? ')' ;
 Param: PatElem | '...' Target ;
@@ -157,6 +158,7 @@ ImportDecl: 'import' 'type' ImportClause 'from' STR End | 'import' Bind '=' Bind
 Spec: 'type' AnyName | 'type' AnyName 'as' AnyName ;
 ExportDecl: 'export' 'type' NamedList ('from' STR)? End | 'export' '=' Comma End | 'export' 'as' 'namespace' Bind End | 'export' 'default' 'abstract' 'class' Bind? ClassTail ;
 Var: Target '!'? TypeAnn? ('=' Assign)? ;
+ConstVar: Bind TypeAnn? '=' Assign | Bind TypeAnn | Pattern TypeAnn? '=' Assign ;
 TypeAnn: ':' Type ;
 CatchParam: '(' Target TypeAnn? ')' ;
 Sig: TypeParams? '(' ')' ReturnAnn? | TypeParams? '(' Param % ',' ','? ')' ReturnAnn? ;
@@ -174,7 +176,7 @@ LhsN: LhsN '!' | LhsN TypeArgs Args ;
 Un: '<' Type '>' Un ;
 UnN: '<' Type '>' Un ;
 Declaration: Decorator* 'abstract'? 'class' Bind ClassTail | 'async'? 'function' '*'? Bind Sig (FnBody | End) | 'interface' Bind TypeParams? ('extends' Type % ',')? TypeBody | 'type' Bind TypeParams? '=' Type End | 'const'? 'enum' Bind '{' (EnumItem % ',' ','?)? '}'
-  | ('namespace' | 'module') (Bind % '.' | STR) '{' Item* '}' | 'declare' Declaration | 'declare' VarStmt | 'declare' 'global' '{' Item* '}' ;
+  | ('namespace' | 'module') (Bind % '.' | STR) '{' Item* '}' | 'declare' Declaration | 'declare' VarWord Var % ',' End | 'declare' 'global' '{' Item* '}' ;
 EnumItem: PropName ('=' Assign)? ;
 Decorator: '@' Lhs ;
 ClassTail: TypeParams? ('extends' Lhs TypeArgs?)? ('implements' Type % ',')? '{' Member* '}' ;
@@ -209,8 +211,9 @@ Sep: ';' ;
 Import: 'import' ImportSpec | 'import' '(' (ImportSpec ';')* ImportSpec? ')' ;
 ImportSpec: STR | NAME STR | '.' STR ;
 Top: Decl | 'func' NAME TypeParams? Signature Block? | 'func' Params NAME Signature Block? ;
-Decl: ('const' | 'var') ValueSpec | ('const' | 'var') '(' (ValueSpec ';')* ValueSpec? ')' | 'type' TypeSpec | 'type' '(' (TypeSpec ';')* TypeSpec? ')' ;
-ValueSpec: NAME % ',' | NAME % ',' Type | NAME % ',' '=' Expr % ',' | NAME % ',' Type '=' Expr % ',' ;
+Decl: 'const' ValueSpec | 'const' '(' (ValueSpec ';')* ValueSpec? ')' | 'var' VarSpec | 'var' '(' (VarSpec ';')* VarSpec? ')' | 'type' TypeSpec | 'type' '(' (TypeSpec ';')* TypeSpec? ')' ;
+ValueSpec: NAME % ',' | NAME % ',' '=' Expr % ',' | NAME % ',' Type '=' Expr % ',' ;
+VarSpec: NAME % ',' Type | NAME % ',' '=' Expr % ',' | NAME % ',' Type '=' Expr % ',' ;
 TypeSpec: NAME TypeParams? Type | NAME TypeParams? '=' Type ;
 TypeParams: '[' TypeParam % ',' ','? ']' ;
 TypeParam: NAME % ',' Constraint ;

@@ -247,6 +247,7 @@ class Tables:
                         if hard:
                             conf[ids[again & split[states, self.asi]]] = True
                         act = np.where(again, alt, act)
+                        tok = np.where(again, self.asi, tok)
                         pend |= again
                         last = np.where(again, pos, last)
                         gone &= ~again

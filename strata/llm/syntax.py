@@ -108,7 +108,7 @@ class Python(Language):
     trivia = r"(?:[ \t\f]++|\\\r?\n)*+"
     literals = (
         r"(?:\#[^\r\n]*+)?(?:(?:\r\n|\r|\n)[ \t\f]*+(?:\#[^\r\n]*+)?)++|\#[^\r\n]*+|"
-        r"(?:[rRuUbBfFtT]{0,2})(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\")|"
+        r"(?:[rRuUbBfFtT]{0,2})(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'(?!'')(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+'|\"(?!\"\")(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\")|"
     )
     number = r"(?:0[xX](?:_?[0-9a-fA-F])++|0[bB](?:_?[01])++|0[oO](?:_?[0-7])++|(?:(?:[1-9](?:_?\d)*+|0(?:_?0)*+)(?![\d.eEjJ])|(?:\d(?:_?\d)*+\.?(?:\d(?:_?\d)*+)?|\.\d(?:_?\d)*+)(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?))(?!\w)"
 
