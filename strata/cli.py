@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,12 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("strata").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 
 
+def highlight(text: str, words: list[str]) -> str:
+    """text with the words, in any case, in bold for a terminal."""
+    found = re.compile("|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) or r"(?!)", re.I)
+    return found.sub(lambda m: f"\x1b[1m{m.group()}\x1b[0m", text)
+
+
 def render(row: dict) -> str:
     """One result as text."""
     if row.get("commit_hash") and not row.get("file_path"):
@@ -49,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     sql.add_argument("statement")
     a = top.parse_args(argv)
     from strata.engine import Engine
+    from strata.query.parser import parse
 
     spark = session()
     if a.command == "index":
@@ -71,7 +79,11 @@ def main(argv: list[str] | None = None) -> int:
         t = engine.translate(text)
         print(text, json.dumps(t.args), t.sql, sep="\n")
         return 0
+    q = parse(text)
     rows = [{k: v for k, v in r.asDict().items() if v is not None} for r in engine.search(text).collect()]
+    if sys.stdout.isatty() and not a.json and not q.is_regex:
+        words = [w for t in q.texts for w in t.split()]
+        rows = [r | {"content": highlight(r["content"], words)} if r.get("content") else r for r in rows]
     print(json.dumps(rows, indent=2, ensure_ascii=False) if a.json else "\n".join(map(render, rows)) or "no results")
     return 0
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +103,18 @@ class Engine:
             key = "blob_id" if kind == "code" else "diff_id"
             self.spark.sql(_search_function(f"{kind}_search", f"{kind}_docs", key))
 
+    @contextlib.contextmanager
+    def tagged(self, tag: str) -> Iterator[None]:
+        """Jobs started inside carry the tag; cancel(tag), from any thread, ends them."""
+        self.spark.sparkContext.addJobTag(tag)
+        try:
+            yield
+        finally:
+            self.spark.sparkContext.removeJobTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
     def index_texts(self, kind: str) -> tuple[DataFrame, DataFrame]:
         """(terms, lengths) of the code or diff texts."""
         docs = self.tables[f"{kind}_docs"]

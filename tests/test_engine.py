@@ -147,7 +147,44 @@ def test_stream_merges_once(spark, tmp_path):
 def test_cli(engine, capsys):
     from strata import cli
 
+    assert cli.highlight("aBc abc", ["abc"]) == "\x1b[1maBc\x1b[0m \x1b[1mabc\x1b[0m" and cli.highlight("x", []) == "x"
+
     row = {"commit_hash": "abc", "author": "x", "message": "m\nn"}
     assert cli.render(row) == "abc  x  m"
     assert cli.render({"file_path": "a", "line": 3, "symbol_name": "f", "symbol_kind": "function"}) == "a:3  function f"
     assert cli.data_dir().endswith("strata")
+
+
+def test_cancel(spark, engine):
+    import threading
+    import time
+
+    failed = []
+
+    def work():
+        with engine.tagged("long-search"):
+            try:
+                spark.range(0, 10**11, 1, 4).selectExpr("sum(sqrt(id))").collect()
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(40):
+        time.sleep(0.5)
+        engine.cancel("long-search")
+        if not t.is_alive():
+            break
+    t.join(5)
+    assert failed
+
+
+def test_plans_prune_and_push_down(spark, tmp_path):
+    """Metadata searches read only their columns and push their filters into the scan; top-k is no full sort."""
+    rows = [(i, i % 3, f"h{i}", "ann" if i % 2 else "bob", "m", i) for i in range(50)]
+    spark.createDataFrame(rows, model.SCHEMAS["commits"]).write.parquet(str(tmp_path / "commits"))
+    e = Engine(spark, {"commits": spark.read.parquet(str(tmp_path / "commits"))})
+    plan = e.search("type:commit author:ann after:2020-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(author), IsNotNull(timestamp)" in plan and "repo_id" not in plan.split("ReadSchema")[1]
+    plan = e.sql("SELECT count(*) FROM commits WHERE repo_id = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(repo_id,1)" in plan and "ReadSchema: struct<repo_id:bigint>" in plan
