@@ -19,6 +19,10 @@ import numpy as np
 _TOKEN = re.compile(r"'[^']+'|[A-Za-z_]\w*|[:|;()?*+%]|#[^\n]*")
 
 
+#: Streams below which a lockstep step costs more than stepping each by itself.
+FEW = 192
+
+
 class _Reader:
     def __init__(self, text: str):
         self.toks = [t for t in _TOKEN.findall(text) if t[0] != "#"]
@@ -231,6 +235,13 @@ class Tables:
         action, goto, size, left, split, hard = self.action, self.goto, self.size, self.left, self.split, bool(self.more)
         states = stack[rows, top]
         while len(ids):
+            if len(ids) < FEW:
+                for k in range(len(ids)):
+                    i = ids[k]
+                    at, split_met = self._finish(flat[base[i] : base[i] + lens[i]].tolist(), None if gentle is None else gentle[base[i] : base[i] + lens[i]].tolist(), stack[rows[k], : top[k] + 1].tolist(), int(pos[k] - base[i]), bool(pend[k]), int(last[k] - base[i]))
+                    bad[i] = at
+                    conf[i] |= split_met
+                break
             tok = flat[pos]
             if self.asi:
                 tok = np.where(pend, self.asi, tok)
@@ -276,6 +287,37 @@ class Tables:
         failed[order], met[order] = bad, conf
         return failed, met
 
+    def _finish(self, toks: list[int], soft: list[bool] | None, stack: list[int], pos: int, pend: bool, last: int) -> tuple[int, bool]:
+        """Parse one stream on from the given point: (place of its first error or -1, whether it met a split cell)."""
+        action, goto, size, left, more = self._plain()
+        asi, met = self.asi, False
+        push, pop = stack.append, stack.pop
+        while True:
+            state = stack[-1]
+            tok = asi if pend else toks[pos]
+            act = action[state][tok]
+            if more and (state, tok) in more:
+                met = True
+            if act > 0:
+                if tok == 1:
+                    return -1, met
+                push(act - 1)
+                if pend:
+                    pend = False
+                else:
+                    pos += 1
+            elif act < 0:
+                n = size[-act]
+                if n == 1:
+                    pop()
+                elif n:
+                    del stack[-n:]
+                push(goto[stack[-1]][left[-act]])
+            elif soft is not None and asi and not pend and last != pos and soft[pos] and action[state][asi]:
+                pend, last = True, pos
+            else:
+                return pos, met
+
     def parse_general(self, stream: np.ndarray, soft: np.ndarray | None = None) -> int:
         """The place of the first token at which no parse can go on, or -1."""
         action, goto, size, left, more = self._plain()

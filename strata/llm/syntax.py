@@ -213,6 +213,7 @@ class Script(Language):
         ends = ["NAME", "NUM", "STR", "TPL", "TTAIL", "REGEX", "PRIVATE", ")", "]", "}", "this", "super", "null", "true", "false", "INC"]
         ends += [w for w in t if w.isalpha() and w.islower() and w in ("as", "from", "of", "get", "set", "static", "async", "type", "namespace", "module", "declare", "abstract", "readonly", "public", "private", "protected", "override", "is", "infer", "satisfies", "asserts", "unique", "global", "let")]
         self.operand = {t[w] for w in ends}
+        self.special = {"{", "}", "`", "/", "/="}
 
     def kind(self, s: str) -> int:
         t, c = self.tables.term, s[0]
@@ -232,54 +233,65 @@ class Script(Language):
         if len(memo) > MEMO:
             memo = self.memo = dict(self.known)
         inc, close, thead, tmid, ttail, regex_id = t["INC"], t["}"], t["THEAD"], t["TMID"], t["TTAIL"], t["REGEX"]
-        match, out, soft = self.pattern.match, [], []
+        out: list[int] = []
+        soft: list[bool] = []
+        put, mark, special = out.append, soft.append, self.special
         pos, prev, open_, depth = 0, -1, [], 0
         if text.startswith("#!"):
             pos = (text.find("\n") + 1) or len(text)
-        while True:
-            m = match(text, pos)
-            start, end = m.span(1)
-            if start == end:
-                break
-            s = text[start:end]
-            fresh = start > pos and text.find("\n", pos, start) >= 0
-            pos = end
-            i = memo.get(s)
-            if i is None:
-                i = memo[s] = kind(s)
-            if s[0] == "/" and prev not in operand and s[:2] not in ("/*", "//"):
-                if r := self.regex.match(text, start):
-                    i, pos = regex_id, r.end()
-                else:
-                    i = 0
-            elif s == "`":
-                r = self.chunk.match(text, end)
-                if not r:
-                    i = 0
-                else:
-                    pos = r.end()
-                    open_.append(depth)
-                    i = thead
-            elif s == "{":
-                depth += 1
-            elif s == "}":
-                if open_ and open_[-1] == depth:
-                    r = self.chunk.match(text, end)
-                    if not r:
-                        i = 0
-                    else:
-                        pos = r.end()
-                        i = tmid if r.group(1) == "${" else ttail
-                        if i == ttail:
-                            open_.pop()
-                else:
-                    depth -= 1
-            if fresh and (prev in words or i == inc and prev in operand):
-                out.append(asi)
-                soft.append(False)
-            out.append(i)
-            soft.append(fresh or i == close)
-            prev = i
+        going = True
+        while going:
+            # the iterator goes on until a regex literal or template moves the position
+            for m in self.pattern.finditer(text, pos):
+                s = m.group(1)
+                if not s:
+                    going = False
+                    break
+                start, end = m.span(1)
+                fresh = start > pos and text.find("\n", pos, start) >= 0
+                pos = end
+                i = memo.get(s)
+                if i is None:
+                    i = memo[s] = kind(s)
+                moved = False
+                if s in special:
+                    if s == "{":
+                        depth += 1
+                    elif s == "}":
+                        if open_ and open_[-1] == depth:
+                            r = self.chunk.match(text, end)
+                            if not r:
+                                i = 0
+                            else:
+                                pos, moved = r.end(), True
+                                i = tmid if r.group(1) == "${" else ttail
+                                if i == ttail:
+                                    open_.pop()
+                        else:
+                            depth -= 1
+                    elif s == "`":
+                        r = self.chunk.match(text, end)
+                        if not r:
+                            i = 0
+                        else:
+                            pos, moved = r.end(), True
+                            open_.append(depth)
+                            i = thead
+                    elif prev not in operand:
+                        if r := self.regex.match(text, start):
+                            i, pos, moved = regex_id, r.end(), True
+                        else:
+                            i = 0
+                if fresh and (prev in words or i == inc and prev in operand):
+                    put(asi)
+                    mark(False)
+                put(i)
+                mark(fresh or i == close)
+                prev = i
+                if moved:
+                    break
+            else:
+                going = False
         out.append(1)
         soft.append(True)
         return np.array(out, np.int32), np.array(soft, bool)
