@@ -176,7 +176,7 @@ def test_one_word_replaced_still_hits():
 RESIDUE = [
     "Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod.", "# T\n\nText goes here.", "Placeholder text, replace before release.", "404 Not Found", "x | browser\n\nAccess denied. You do not have permission to view this page.", "<html><head><title>503 Service Temporarily Unavailable</title></head><body></body></html>", '{"error": {"code": 429, "message": "rate limit exceeded for x", "retry_after": 3}}',
     "Please enable JavaScript to view the file browser.", "Bitte aktivieren Sie JavaScript, um fortzufahren.", "Seite nicht gefunden", "Página no encontrada.", "Erreur 503 : service momentanément indisponible. Réessayez dans 5 minutes.", "The requested path /a/b was not found on this server.", "Checking your connection before showing x...", "Maintainer: %%OWNER%%", "Dear {name}, thanks", "# {{ project_name }}", "by <INSERT NAME HERE>", "[Your name here]", "[TODO: describe the change]",
-    "Run the ${TOOL_NAME} installer.", "@@x_owner@@", "# __PROJECT_TITLE__", "<your-project-name>", "{% block x %}{% endblock %}", "We check it. {{cookie.slug}} It works.",
+    "Run the ${TOOL_NAME} installer.", "@@x_owner@@", "# __PROJECT_TITLE__", "<your-project-name>", "{% block x %}{% endblock %}", "We check it. {{cookie.slug}} It works.", "{cursor}\n{{ cursor_name }}\n[TODO: describe the author]\n", "## What does this change do?\n\n${CACHE_NAME}\n\n## How was it tested?\n\n{router}\n",
 ]
 NATURAL = [
     "Templates may contain `{{ a.b }}`; the renderer fills it before publishing.", "Set `${X_HOME}` in the shell before you start.", "Fix the 502 Bad Gateway seen when the proxy restarts: it now waits.", "The server now answers 404 Not Found instead of 500 when it is gone.", 'We show "Please enable JavaScript" only if the widget cannot load.', "The linter rejects lorem ipsum text in a page and names the file.",
