@@ -207,3 +207,5 @@ def test_windows_place_residue():
         np.add.at(bg[k], x, 5_000)
     ratio = residue.model(bg)
     assert residue.windows("Lorem ipsum dolor sit amet consectetur", ratio)[1] and not residue.windows("We check each record before the reader reaches the end of the file.", ratio)[1]
+    texts = ["Lorem ipsum dolor sit amet consectetur", "We check each record before the reader reaches the end of the file.", "", "x", "a\0b {name} c", "Ünïcode 𝔘 {x_y} __A_B__", "404 Not Found"] * 3
+    assert residue.flags(texts, ratio).tolist() == [residue.windows(t.replace("\0", " "), ratio)[1] for t in texts]
