@@ -56,10 +56,10 @@ CORPUS_SQL = {
     "file_revs": "SELECT DISTINCT * FROM t_file_revs",
     "symbols": "SELECT DISTINCT * FROM t_symbols",
     "symbol_refs": "SELECT DISTINCT * FROM t_symbol_refs",
-    "code_docs": "SELECT DISTINCT CAST(substr(doc_key, 6) AS BIGINT) AS doc_id, content FROM t_bleve_docs WHERE index_name = 'code'",
-    "diff_docs": "SELECT DISTINCT CAST(substr(doc_key, 6) AS BIGINT) AS doc_id, content FROM t_bleve_docs WHERE index_name = 'diff'",
+    "code_docs": "SELECT DISTINCT TRY_CAST(substr(doc_key, 6) AS BIGINT) AS doc_id, content FROM t_bleve_docs WHERE index_name = 'code'",
+    "diff_docs": "SELECT DISTINCT TRY_CAST(substr(doc_key, 6) AS BIGINT) AS doc_id, content FROM t_bleve_docs WHERE index_name = 'diff'",
     # a diff text names its path; its commit is the first that has a file of the path, else the commit of the same number
-    "diffs": "SELECT d.doc_id AS id, coalesce(f.commit_id, d.doc_id + 1000) AS commit_id, d.path, f.old_blob_id, f.new_blob_id FROM (SELECT DISTINCT CAST(substr(doc_key, 6) AS BIGINT) AS doc_id, regexp_extract(content, '^--- a/([^\\n]*)', 1) AS path FROM t_bleve_docs WHERE index_name = 'diff') d LEFT JOIN (SELECT path, min(commit_id) AS commit_id, CASE WHEN count(DISTINCT blob_id) > 1 THEN min(blob_id) END AS old_blob_id, max(blob_id) AS new_blob_id FROM t_file_revs GROUP BY path) f ON f.path = d.path",
+    "diffs": "SELECT d.doc_id AS id, coalesce(f.commit_id, d.doc_id + 1000) AS commit_id, d.path, f.old_blob_id, f.new_blob_id FROM (SELECT DISTINCT TRY_CAST(substr(doc_key, 6) AS BIGINT) AS doc_id, regexp_extract(content, '^--- a/([^\\n]*)', 1) AS path FROM t_bleve_docs WHERE index_name = 'diff') d LEFT JOIN (SELECT path, min(commit_id) AS commit_id, CASE WHEN count(DISTINCT blob_id) > 1 THEN min(blob_id) END AS old_blob_id, max(blob_id) AS new_blob_id FROM t_file_revs GROUP BY path) f ON f.path = d.path",
 }
 _BASE = ("commits", "commit_parents", "refs", "blobs", "file_revs", "symbols", "symbol_refs", "bleve_docs")
 
