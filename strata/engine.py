@@ -53,7 +53,7 @@ class Engine:
             terms, lengths = self.indexes.get(kind) or (fulltext.scan_terms(docs, q.groups), fulltext.length_table(docs))
             scored = fulltext.rank(terms, lengths, q.groups)
             needles = list(dict.fromkeys(c.words[0] for g in q.groups for c in fulltext.clauses(g) if c.words and c.sign != "-"))
-        return scored.join(docs, "doc_id").select("doc_id", "score", fulltext.snippet("content", needles, q.is_regex).alias("snippet"))
+        return scored.join(docs, "doc_id").select("doc_id", "score", fulltext.snippet("content", needles, q.is_regex).alias("snippet")).distinct()
 
     def search(self, text: str) -> DataFrame:
         """Result rows of a search string in the columns RESULT; those that a kind of search doesn't fill are null."""
@@ -98,7 +98,7 @@ class Engine:
     def register(self) -> None:
         """The tables as temporary views and the text searches as table functions of the session."""
         for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
+            (df.dropDuplicates(["doc_id"]) if name.endswith("_docs") else df).createOrReplaceTempView(name)
         for kind in ("code", "diff"):
             key = "blob_id" if kind == "code" else "diff_id"
             self.spark.sql(_search_function(f"{kind}_search", f"{kind}_docs", key))

@@ -1,6 +1,6 @@
 """Ranked full-text search as relational plans.
 
-Documents are (doc_id, content). Terms are lower-case runs of letters, digits and underscores. The index is two tables -
+Documents are (doc_id, content); rows may be repeated as exact copies, and no text is moved to tell them apart. Terms are lower-case runs of letters, digits and underscores. The index is two tables -
 terms (term, doc_id, tf, positions) and lengths (doc_id, len) - and a search is one join, one aggregation and one top-k.
 """
 
@@ -29,12 +29,18 @@ def words(text: str) -> list[str]:
 def term_table(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, positions): one row for each different term of each document; positions count from 0."""
     each = docs.where("content IS NOT NULL").select("doc_id", F.posexplode(tokens("content")).alias("pos", "term"))
-    return each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return _postings(each)
+
+
+def _postings(each: DataFrame) -> DataFrame:
+    """Rows (term, doc_id, pos) to postings; positions are a set, so that repeated copies of a document count once."""
+    sets = each.groupBy("term", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    return sets.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def length_table(docs: DataFrame) -> DataFrame:
     """(doc_id, len): tokens of each document that has any."""
-    return docs.where("content IS NOT NULL").select("doc_id", F.size(tokens("content")).alias("len")).where("len > 0")
+    return docs.where("content IS NOT NULL").select("doc_id", F.size(tokens("content")).alias("len")).where("len > 0").distinct()
 
 
 @dataclass(frozen=True)
@@ -127,7 +133,7 @@ def rank(terms: DataFrame, lengths: DataFrame, groups: list[list[Term]]) -> Data
 def regex_rank(docs: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, score): documents in which the pattern occurs, scored by how often."""
     n = F.regexp_count("content", F.lit(pattern))
-    return docs.where("content IS NOT NULL").where(F.col("content").rlike(pattern)).select("doc_id", n.cast("double").alias("score"))
+    return docs.where("content IS NOT NULL").where(F.col("content").rlike(pattern)).select("doc_id", n.cast("double").alias("score")).distinct()
 
 
 def snippet(content: Column | str, needles: list[str], regex: bool = False, width: int = 200) -> Column:
@@ -162,4 +168,4 @@ def scan_terms(docs: DataFrame, groups: list[list[Term]]) -> DataFrame:
     keep = [F.col("term").isin(plain)] if plain else []
     keep += [F.col("term").rlike(p) for p in patterns] + [F.levenshtein("term", F.lit(w)) <= n for w, n in near]
     each = each.where(_any_of(keep)) if keep else each.limit(0)
-    return each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return _postings(each)

@@ -97,7 +97,7 @@ _put("ft_fuzzy", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s,
 _put("ft_must_not", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("+ledger -return").groups), fulltext.length_table(c), g).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE list_contains(w, 'ledger') AND NOT list_contains(w, 'return')")
 _put("ft_boost", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("ledger^2").groups), fulltext.length_table(c), g).select("doc_id", F.round(F.col("score"), 2).alias("score")), f", {_bm25(['ledger'], 'v_code_docs')}, x AS (SELECT t.doc_id, 2 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) AS sc FROM tf_hits t JOIN df_hits USING (term), st_hits) SELECT doc_id, round(round(sc, 4), 2) AS score FROM x")
 _put("ft_regex", lambda s, d: fulltext.regex_rank(_corpus(s, d)["code_docs"], r"[a-z]+\(\)"), r" SELECT doc_id, CAST(len(regexp_extract_all(content, '[a-z]+\(\)')) AS DOUBLE) AS score FROM v_code_docs WHERE regexp_matches(content, '[a-z]+\(\)')")
-_put("ft_substring", lambda s, d: _corpus(s, d)["code_docs"].where(F.contains("content", F.lit('println!("{}"'))).select("doc_id", fulltext.snippet("content", ['println!("{}"']).alias("snippet")), f" SELECT doc_id, {_SNIP.format(test='contains(lower(l), $$println!(@{}@$$)')} AS snippet FROM v_code_docs d WHERE contains(content, $$println!(@{{}}@$$)".replace("@", '"'))
+_put("ft_substring", lambda s, d: _corpus(s, d)["code_docs"].where(F.contains("content", F.lit('println!("{}"'))).select("doc_id", fulltext.snippet("content", ['println!("{}"']).alias("snippet")).distinct(), f" SELECT doc_id, {_SNIP.format(test='contains(lower(l), $$println!(@{}@$$)')} AS snippet FROM v_code_docs d WHERE contains(content, $$println!(@{{}}@$$)".replace("@", '"'))
 
 
 def _function(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ _put("ft_function", _function, f", {_bm25(['shard', 'token'], 'v_code_docs')} SE
 def _hit_join(spark: SparkSession, d: str) -> DataFrame:
     """J1/J2/J8: text hits with all their places at the tips of main, by one join chain instead of a query for each hit."""
     t = _corpus(spark, d)
-    hits = t["code_docs"].where(F.contains("content", F.lit("walker"))).select(F.col("doc_id").alias("blob_id"))
+    hits = t["code_docs"].where(F.contains("content", F.lit("walker"))).select(F.col("doc_id").alias("blob_id")).distinct()
     tips = t["refs"].where("name = 'refs/heads/main'").select("repo_id", "commit_id")
     return hits.join(t["file_revs"], "blob_id").join(tips, "commit_id").join(t["repos"].select(F.col("id").alias("repo_id"), F.col("name").alias("repo")), "repo_id").select("blob_id", "path", "repo")
 
@@ -143,7 +143,7 @@ def _diff_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = _corpus(spark, d)["code_docs"]
     new = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("content").alias("new"))
     both = docs.withColumnRenamed("content", "old").join(new, "doc_id", "full")
-    return both.select("doc_id", F.md5(dataflow.diff_text(F.concat(F.lit("src/f"), F.col("doc_id").cast("string")), "old", "new")).alias("digest"))
+    return both.select("doc_id", F.md5(dataflow.diff_text(F.concat(F.lit("src/f"), F.col("doc_id").cast("string")), "old", "new")).alias("digest")).distinct()
 
 
 _LINES = "CASE WHEN {x} IS NULL THEN '' ELSE coalesce(array_to_string(list_transform(string_split({x}, chr(10))[1:100], lambda l: '{s}' || l || chr(10)), ''), '') END"
@@ -154,7 +154,7 @@ _put("sk_replace", lambda s, d: dataflow.replace_where((t := _corpus(s, d))["fil
 _put("ix_unparsed", lambda s, d: _corpus(s, d)["blobs"].where("NOT parsed AND language IN ('go', 'rust', 'python')").select("id", "language"), " SELECT id, language FROM v_blobs WHERE NOT parsed AND language IN ('go', 'rust', 'python')")
 _put("ix_blob_dedup", lambda s, d: (t := _corpus(s, d))["file_revs"].groupBy("blob_id").agg(F.min_by(language_of("path"), "path").alias("language"), F.min("path").alias("first_path")), " , e AS (SELECT blob_id, path, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS ext FROM v_file_revs), m AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{v}')" for e, v in BY_EXTENSION.items()) + ") t(ext, lang)) SELECT f.blob_id, m.lang AS language, f.path AS first_path FROM (SELECT blob_id, min(path) AS path FROM e GROUP BY blob_id) f JOIN e ON e.blob_id = f.blob_id AND e.path = f.path LEFT JOIN m ON m.ext = e.ext GROUP BY ALL")
 _put("ix_tip_snapshot", lambda s, d: (t := _corpus(s, d))["refs"].join(t["commits"].select(F.col("id").alias("commit_id")), "commit_id", "left_semi").join(t["file_revs"].select("commit_id", "path", "blob_id"), "commit_id").select(F.col("name").alias("ref"), "path", "blob_id"), " SELECT r.name AS ref, f.path, f.blob_id FROM v_refs r JOIN v_file_revs f ON f.commit_id = r.commit_id WHERE r.commit_id IN (SELECT id FROM v_commits)")
-_put("ix_valid_utf8", lambda s, d: _corpus(s, d)["code_docs"].where(F.is_valid_utf8("content") & (F.length("content") > 0)).select("doc_id", F.sha1(F.concat(F.lit("blob "), F.octet_length("content").cast("string"), F.lit("\0"), "content")).alias("object_id")), " SELECT doc_id, sha1(encode('blob ' || octet_length(encode(content)) || chr(0) || content)) AS object_id FROM v_code_docs WHERE length(content) > 0")
+_put("ix_valid_utf8", lambda s, d: _corpus(s, d)["code_docs"].where(F.is_valid_utf8("content") & (F.length("content") > 0)).select("doc_id", F.sha1(F.concat(F.lit("blob "), F.octet_length("content").cast("string"), F.lit("\0"), "content")).alias("object_id")).distinct(), " SELECT doc_id, sha1(encode('blob ' || octet_length(encode(content)) || chr(0) || content)) AS object_id FROM v_code_docs WHERE length(content) > 0")
 
 # --- documented queries, functions, counters --------------------------------------------------------------------------
 

@@ -17,17 +17,17 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return symbol_tables(extract_symbols(_texts(spark, d)))[0]
+    return symbol_tables(extract_symbols(_texts(spark, d)))[0].distinct()
 
 
 def x_refs(spark: SparkSession, d: str) -> DataFrame:
-    return symbol_tables(extract_symbols(_texts(spark, d)))[1]
+    return symbol_tables(extract_symbols(_texts(spark, d)))[1].distinct()
 
 
 def x_python_defs(spark: SparkSession, d: str) -> DataFrame:
     """Functions and classes of Python texts, by the first lines that open them; only of texts whose lines SQL can read alike."""
     found = extract_symbols(_texts(spark, d).where("language = 'python'")).where("NOT is_ref AND kind = 'class' AND col = 1")
-    return found.select("blob_id", "name", F.col("line").cast("long").alias("line"))
+    return found.select("blob_id", "name", F.col("line").cast("long").alias("line")).distinct()
 
 
 def st_ingest(spark: SparkSession, d: str) -> DataFrame:
