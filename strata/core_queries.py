@@ -30,13 +30,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """All that is known of every node. descendants counts over all parent links; tree_descendants, like root, depth, path, pre and post, over the smallest parents."""
     half = lambda c: F.shiftright(c, 1).alias(c)
     out = _split(H.hierarchy(_joint(spark, d)))
-    return out.select("graph", F.shiftright("node", 1).alias("node_id"), half("loop"), half("root"), F.col("depth").cast("long").alias("depth"), F.concat_ws("/", F.transform("path", lambda x: F.shiftright(x, 1).cast("string"))).alias("path"), half("path_anchor"), "pre", "post", F.col("descendants").cast("long").alias("descendants"), F.transform("back_edges", lambda x: F.shiftright(x, 1)).alias("back_edges"))
+    return out.select("graph", F.shiftright("node", 1).alias("node_id"), half("loop"), half("root"), F.col("depth").cast("long").alias("depth"), F.concat_ws("/", F.transform("path", lambda x: F.shiftright(x, 1).cast("string"))).alias("path"), half("path_anchor"), "pre", "post", F.col("below").alias("descendants"), F.col("descendants").cast("long").alias("tree_descendants"), F.transform("back_edges", lambda x: F.shiftright(x, 1)).alias("back_edges"))
 
 
 def p1_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Root and depth of every node that has one."""
+    """Root, depth and descendants, all in the tree of smallest parents, of every node that has a root there; p1_descendants follows all parents."""
     out = _split(H.hierarchy(_joint(spark, d))).where("root IS NOT NULL")
     return out.select("graph", F.shiftright("node", 1).alias("node_id"), F.shiftright("root", 1).alias("root"), F.col("depth").cast("long").alias("depth"), F.col("descendants").cast("long").alias("descendants"))
 
@@ -55,6 +56,21 @@ FROM t a JOIN (SELECT graph, id, unnest(path) AS above FROM t) b ON b.graph = a.
 """
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """For every node, on loops or not, the number of other nodes that reach it over any of their parents."""
+    return _split(H.hierarchy(_joint(spark, d))).select("graph", F.shiftright("node", 1).alias("node_id"), F.col("below").alias("descendants"))
+
+
+P1_DESCENDANTS_SQL = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'commit' AS graph, commit_id AS child, parent_id AS parent FROM commit_parents WHERE commit_id IS NOT NULL AND parent_id IS NOT NULL
+  UNION SELECT 'symbol', id, parent_id FROM symbols WHERE id IS NOT NULL AND parent_id IS NOT NULL),
+r AS (SELECT graph, parent AS top, child AS id FROM e UNION SELECT r.graph, r.top, e.child FROM r JOIN e ON e.graph = r.graph AND e.parent = r.id),
+n AS (SELECT graph, child AS id FROM e UNION SELECT graph, parent FROM e)
+SELECT n.graph, n.id AS node_id, count(r.id) AS descendants FROM n LEFT JOIN r ON r.graph = n.graph AND r.top = n.id AND r.id <> n.id GROUP BY ALL
+"""
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     state = I.state_of_runs(table(spark, d, "index_run_log"), table(spark, d, "run_records"))
     commits = I.hashed(table(spark, d, "commits"), "commit", F.col("hash"), ["timestamp"])
@@ -109,5 +125,5 @@ def p5_calls(spark: SparkSession, d: str) -> DataFrame:
 
 P5_CALLS_SQL = "SELECT ref_name, count(*) AS n_refs, min(id) AS first_id, count(DISTINCT blob_id) AS n_blobs FROM symbol_refs GROUP BY ref_name"
 
-QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p2_found": p2_found, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
-SQL = {"p1_depth": P1_DEPTH_SQL, "p2_found": P2_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p1_descendants": p1_descendants, "p2_found": p2_found, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
+SQL = {"p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p2_found": P2_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}
