@@ -201,6 +201,15 @@ def test_residue_operator(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_many_copies_of_residue_stay_residue(spark):
+    words = "we check each record before the reader gets to the end and the old cache took more time per file than new ones do".split()
+    r = random.Random(2)
+    notice = "Please enable JavaScript to view the file browser."
+    rows = [(i, " ".join(r.choices(words, k=20))) for i in range(200)] + [(1000 + i, notice) for i in range(100)]
+    got = {x.doc_id for x in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(1000, 1100))
+
+
 def test_windows_place_residue():
     bg = np.zeros((2, residue.BUCKETS))
     for k, x in enumerate(residue._views("We check each record before the reader reaches the end of the file.")):
