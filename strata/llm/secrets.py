@@ -212,16 +212,36 @@ def key_path(text: str, start: int, key: str) -> str:
     return ".".join(reversed(names))
 
 
+_MARK = re.compile(r"-----(END|BEGIN)")
+#: Lines of key text with what quotes, comments and diffs put around them: any, and those so long that they are it wherever they stand.
+_KEY_LINE, _LONG_KEY_LINE = (re.compile(r"^[ \t+\-#*/>|\"'`]{0,40}(?:%s)(?:\\[nr])*[ \t\"'`+.,;:)\\]{0,20}\r?$" % x, re.M) for x in (r"[A-Za-z0-9+/=]*|(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):.*", r"[A-Za-z0-9+/]{40,}={0,2}"))
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where the text of the private key whose BEGIN ends at at is over: at END, however far; without END at the last line of the form of key text."""
+    m = _MARK.search(text, at)
+    if m and m.group(1) == "END":
+        return m.start()
+    stop = m.start() if m else len(text)
+    end = text.find("\n", at, stop)
+    if end < 0:
+        return stop
+    while end < stop and (line := _KEY_LINE.match(text, end + 1, stop)):
+        end = line.end()
+    for line in _LONG_KEY_LINE.finditer(text, end, stop):
+        end = line.end()
+    return min(end, stop)
+
+
 def redact(text: str, hits: list[tuple[int, int, int, str, str]]) -> str:
-    """text with every credential replaced by REDACTED; of a private-key block the lines between its marks become x's of
-    the same form. Nothing else changes, so quotes, commas, line numbers and layout stay."""
+    """text with every credential replaced by REDACTED; of a private-key block the lines between its marks, or without END those of the form
+    of key text, become x's of the same form. Nothing else changes, so quotes, commas, line numbers and layout stay."""
     out, at = [], 0
     for _, a, b, _, rule in sorted(hits, key=lambda h: h[1]):
         if a < at:
             continue
         if rule == "private-key":
-            stop = text.find("-----END", b)
-            stop = min(stop if stop >= 0 else len(text), b + 20_000)
+            stop = _key_end(text, b)
             body = re.sub(r"\\n|\\r|[A-Za-z0-9/]", lambda m: m.group() if len(m.group()) > 1 else "x", text[b:stop])
             out.append(text[at:b] + body)
             at = stop

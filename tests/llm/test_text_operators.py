@@ -83,6 +83,21 @@ def test_redaction_keeps_form():
     assert not [h for h in secrets.text_hits(out, False, auto) if h[4] != "private-key"]
 
 
+def test_redaction_of_long_private_keys():
+    auto = secrets._automaton()
+    begin, line = "-----BEGIN PGP PRIVATE KEY BLOCK-----\n", "lQdGBF" + "Ab3/" * 14 + "\n"
+    for end in ("-----END PGP PRIVATE KEY BLOCK-----\n", ""):
+        text = "a = 1\n" + begin + "Version: 1\n\n" + line * 900 + end + "and = words(after, it)\n"
+        out = secrets.redact(text, secrets.text_hits(text, False, auto))
+        assert "lQdGBF" not in out and "Ab3" not in out and len(out) == len(text) and out.endswith(end + "and = words(after, it)\n")
+    text = begin + line * 2 + "interrupted (here)\n" + line + "and = words(after, it)\n"
+    out = secrets.redact(text, secrets.text_hits(text, False, auto))
+    assert "lQdGBF" not in out and out.endswith("\nand = words(after, it)\n")
+    text = "+" + begin + "+" + line + "+-----BEGIN CERTIFICATE-----\n+MIIC\n-----END CERTIFICATE-----\n"
+    out = secrets.redact(text, secrets.text_hits(text, True, auto))
+    assert "lQdGBF" not in out and "\n+MIIC\n" in out
+
+
 def test_credential_operator(spark):
     docs = spark.createDataFrame([("blob_1", "code", 'é\r\npassword = "deep7Router!yKu"\r\n', 1), ("blob_1", "code", 'é\r\npassword = "deep7Router!yKu"\r\n', 1), ("diff_1", "diff", '--- a/x\n+++ b/x\n-password = "deep7Router!yKu"\n', 1), ("blob_2", "code", None, 1), ("blob_3", "code", "", 1), ("blob_4", "code", "x" * 500_000 + "\npw=late3Folder!x0h", 1)], "doc_key string, index_name string, content string, line_no int")
     got = {(r.doc_key, r.line_no): r for r in secrets.find_credentials(docs).collect()}
