@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 #: Lower-case strings of which a line must hold one to be read closely (fixed values).
 TRIGGERS = (
-    "pass", "pwd", "pw=", "pw:", "pw ", "_pw", "secret", "token", "key", "bearer", "basic ", "kennwort", "contrase", "credential", "authorization", "://", " -u ", "akia", "asia", "aiza", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_",
-    "xox", "sk_live", "sk_test", "rk_live", "glpat-", "_pat_", "npm_", "eyj", "sig=", "sk-", "sg.", "rootpw", "adminpw", "userpw", "dbpw",
+    "pass", "pwd", "pw=", "pw:", "pw ", "pw\t", "pw(", "pw[", "pw]", "pw\"", "pw'", "pw`", "_pw", "secret", "token", "key", "bearer", "basic ", "kennwort", "contrase", "credential", "authorization", "://", "-u ", "-u=", "--user", "akia", "asia", "aiza", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_",
+    "xox", "sk_live", "sk_test", "rk_live", "rk_test", "glpat-", "_pat_", "npm_", "eyj", "sig=", "sk-", "sg.", "rootpw", "adminpw", "userpw", "dbpw",
 )
 #: Values of known credential formats.
 SHAPES = re.compile(

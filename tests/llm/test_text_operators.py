@@ -65,6 +65,15 @@ def test_lines():
         assert not secrets.text_hits("+" + line, True, auto), line
 
 
+def test_prefilter_passes_what_the_rules_accept():
+    auto = secrets._automaton()
+    for line in ('{"pw": "deep7Router!yKu"}', "conf['pw'] = 'deep7Router!yKu'", "conf[`pw`] = 'deep7Router!yKu'", "pw\t= 'deep7Router!yKu'", "pw('deep7Router!yKu')", "k = 'rk_test_9aB3dE5fG7hJ1kL2mN4p'", "curl --user svc:deep7Router!yKu h", "curl --user=svc:deep7Router!yKu h", "-u svc:deep7Router!yKu h", "x -u=svc:deep7Router!yKu h"):
+        assert secrets.line_hits(line) and secrets.text_hits(line, False, auto), line
+    for line in HITS:
+        if secrets.line_hits(line):
+            assert secrets.text_hits(line, False, auto), line
+
+
 def test_values_on_the_next_line():
     auto = secrets._automaton()
     assert [h[0] for h in secrets.text_hits("a: 1\nvault_password: >-\n  Archive+orphan51\nb: 2\n", False, auto)] == [3]
