@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata.operators import hierarchy as H
 from strata.operators import incremental as I
 from strata.operators import skew as S
-from strata.runtime import table
+from strata.runtime import scratch, table
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -71,13 +71,35 @@ SELECT n.graph, n.id AS node_id, count(r.id) AS descendants FROM n LEFT JOIN r O
 """
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    state = I.state_of_runs(table(spark, d, "index_run_log"), table(spark, d, "run_records"))
+def _state(spark: SparkSession, d: str) -> I.StateStore:
+    """A state store whose first version is what the succeeded runs have written."""
+    store = I.StateStore(spark, scratch(spark, "state"))
+    store.commit(I.state_of_runs(table(spark, d, "index_run_log"), table(spark, d, "run_records")))
+    return store
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
     commits = I.hashed(table(spark, d, "commits"), "commit", F.col("hash"), ["timestamp"])
-    refs = I.hashed(table(spark, d, "refs"), "ref", F.concat_ws(":", F.col("repo_id").cast("string"), "name"), ["commit_id"])
-    return I.new_or_changed(commits.union(refs), state).select("record_kind", "record_key").distinct()
+    return commits.union(I.hashed(table(spark, d, "refs"), "ref", F.concat(F.col("repo_id").cast("string"), F.lit(":"), "name"), ["commit_id"]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _state(spark, d).pending(_records(spark, d)).select("record_kind", "record_key").distinct()
+
+
+def p2_after(spark: SparkSession, d: str) -> DataFrame:
+    """Records that are still to do after a run that processed all of them and committed: none but those whose key has several values."""
+    store, records = _state(spark, d), _records(spark, d)
+    store.commit(store.pending(records, 1), 1)
+    return store.pending(records).groupBy("record_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+P2_AFTER_SQL = """
+WITH p AS (SELECT DISTINCT 'commit' AS record_kind, hash AS record_key, timestamp AS v FROM commits WHERE hash IS NOT NULL
+           UNION SELECT 'ref', CAST(repo_id AS VARCHAR) || ':' || name, commit_id FROM refs WHERE repo_id IS NOT NULL AND name IS NOT NULL)
+SELECT record_kind, sum(n - 1)::BIGINT AS n FROM (SELECT record_kind, record_key, count(*) AS n FROM p GROUP BY ALL) WHERE n > 1 GROUP BY record_kind
+"""
+
 P2_FOUND_SQL = """
 WITH ok AS (SELECT run_id FROM index_run_log GROUP BY run_id HAVING arg_max(status, logged_at) = 'ok'),
 w AS (SELECT r.*, row_number() OVER (PARTITION BY record_kind, record_key ORDER BY run_id DESC) AS k FROM run_records r WHERE run_id IN (SELECT run_id FROM ok)),
@@ -125,5 +147,5 @@ def p5_calls(spark: SparkSession, d: str) -> DataFrame:
 
 P5_CALLS_SQL = "SELECT ref_name, count(*) AS n_refs, min(id) AS first_id, count(DISTINCT blob_id) AS n_blobs FROM symbol_refs GROUP BY ref_name"
 
-QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p1_descendants": p1_descendants, "p2_found": p2_found, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
-SQL = {"p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p2_found": P2_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_after": p2_after, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
+SQL = {"p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p2_found": P2_FOUND_SQL, "p2_after": P2_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}

@@ -18,7 +18,32 @@ from strata.query.translate import Translated, strategy, translate
 #: The columns of every search result, in order.
 RESULT = ("repo", "file_path", "content", "score", "line", "language", "commit_hash", "author", "message", "symbol_name", "symbol_kind")
 _RESULT_KINDS = {"score": "double", "line": "long"}
-_READS = re.compile(r"^\s*(?:--[^\n]*\n|/\*.*?\*/|\s)*\(*\s*(?:select|with|values|from|describe|desc|show|explain|table)\b", re.I | re.S)
+#: Commands that only read (names of Spark's logical plans, fixed values).
+_READING = frozenset("ShowNamespaces ShowTables ShowTablesCommand ShowViews ShowColumns ShowColumnsCommand ShowFunctions ShowFunctionsCommand ShowCreateTable ShowPartitions ShowTableProperties ShowCatalogsCommand ShowCurrentNamespace DescribeRelation DescribeColumn DescribeNamespace DescribeFunction DescribeFunctionCommand DescribeQueryCommand DescribeTableCommand ExplainCommand".split())
+
+
+def writes(spark: SparkSession, text: str) -> str | None:
+    """Name of the first node of the parsed statement that does more than read, in subqueries and under EXPLAIN too; None if there is none.
+
+    The statement is parsed, not analysed or run. Every plan that is a command or writes is refused unless it is on the
+    list of those that only show something.
+    """
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name not in _READING and (command.isInstance(node) or re.match(r"Insert|Create|Replace|Drop|Alter|Set|Merge|Delete|Update|Overwrite|Append|Cache|Uncache|Compound|SingleStatement|Unresolved(?:Table|View)Spec", name)):
+            return name
+        if name == "ExplainCommand":
+            todo.append(node.logicalPlan())
+            continue
+        for nodes in (node.children(), node.innerChildren(), node.subqueries()):
+            for i in range(nodes.size()):
+                child = nodes.apply(i)
+                if spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(child):
+                    todo.append(child)
+    return None
 
 
 class Engine:
@@ -90,8 +115,8 @@ class Engine:
 
     def sql(self, text: str, **args: object) -> DataFrame:
         """Any reading SQL over the tables, code_search and diff_search included; statements that write are refused."""
-        if not _READS.match(text):
-            raise ValueError("only statements that read are allowed")
+        if node := writes(self.spark, text):
+            raise ValueError(f"only statements that read are allowed, not {node}")
         self.register()
         return self.spark.sql(text, args=args or None)
 

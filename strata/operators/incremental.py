@@ -1,17 +1,20 @@
 """Processing only new or changed records.
 
-State is a table (record_kind, record_key, content_hash) of what the succeeded runs have processed. A run hashes the
-current rows, joins them with the state and takes the rows whose hash is new or different. Its own state becomes
-visible only by an atomic rename of a version file after all else is written, so a failed run changes nothing and the
-next run takes the same records again.
+State is a table (record_kind, record_key, content_hash) of what the succeeded runs have processed, kept in versions by
+StateStore. A run hashes the current rows, joins them with the state and takes the rows whose hash is new or different.
+Its own state becomes visible only by an atomic rename of a version file after all else is written, so a failed run
+changes nothing and the next run takes the same records again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.runtime import null_safe_key
+from strata.runtime import null_safe_key, publish
 
 
 def content_hash(*cols: str):
@@ -43,44 +46,89 @@ def new_or_changed(current: DataFrame, state: DataFrame) -> DataFrame:
 
 
 class StateStore:
-    """Versioned state under a folder of any Hadoop file system: v<N>/ holds the rows, CURRENT-<N> marks version N whole.
+    """Versioned state under a folder of any Hadoop file system.
 
-    The marker is written under another name and renamed, which is atomic; readers take the highest marker. A version
-    folder without a marker is the rest of a failed run and is overwritten by the next.
+    Keys are spread over ``buckets`` by hash. A run writes the new contents of the buckets it touches to a folder of its own
+    name, data-<uuid>/, which no other run ever writes to; then version-<N>, a small file that names the folder of every
+    bucket, is renamed into place, which fails if another run has made version N. Readers take the highest version. What a
+    failed or beaten run has written is named by no version and read by none; ``vacuum`` deletes what only old versions name.
+    The number of buckets is fixed when the first version is written.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str = ""):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def version(self) -> int:
-        """The last version that a run finished; 0 before the first."""
+    def _versions(self) -> list[int]:
         if not self._fs.exists(self._path()):
-            return 0
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path())]
-        return max((int(n[8:]) for n in names if n.startswith("CURRENT-")), default=0)
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], "record_kind string, record_key string, content_hash string")
-        return self.spark.read.parquet(f"{self.root}/v{v}")
+        return sorted(int(n[8:]) for n in names if n.startswith("version-"))
 
-    def pending(self, current: DataFrame) -> DataFrame:
-        return new_or_changed(current, self.read())
-
-    def commit(self, processed: DataFrame) -> int:
-        """Add the hashes of the processed rows to the state as a new version; two runs that race for it can't both win."""
-        v = self.version()
+    def version(self) -> int:
+        """The last version that a run finished; 0 before the first."""
+        return max(self._versions(), default=0)
+
+    def manifest(self, version: int) -> dict:
+        """{"buckets": their number, "folders": {bucket: folder}} of a version."""
+        if not version:
+            return {"buckets": self.buckets, "folders": {}}
+        stream = self._fs.open(self._path(f"version-{version}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """(record_kind, record_key, content_hash) of a version, the last if none is named; of some buckets only, if named."""
+        folders = self.manifest(self.version() if version is None else version)["folders"]
+        paths = [f"{self.root}/{f}/bucket={b}" for b, f in folders.items() if only is None or int(b) in only]
+        schema = "record_kind string, record_key string, content_hash string"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def pending(self, current: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows of current that a version of the state, the last if none is named, lacks or has with another hash."""
+        return new_or_changed(current, self.read(version))
+
+    def commit(self, processed: DataFrame, base: int | None = None) -> int:
+        """Add the hashes of the processed rows to the state as the version after base, the version that pending was asked of
+        (the last, if none is named). Of a key's several rows the greatest hash stays; rows without a key aren't kept.
+
+        Raises RuntimeError, with nothing changed, if another run has committed since base. Only the buckets that the
+        processed rows fall into are read and written again.
+        """
+        base = self.version() if base is None else base
+        old = self.manifest(base)
+        place = F.pmod(F.xxhash64("record_kind", "record_key"), F.lit(old["buckets"])).cast("int")
         fresh = processed.select("record_kind", "record_key", "content_hash").where("record_key IS NOT NULL")
-        keep = self.read().join(fresh, ["record_kind", "record_key"], "left_anti")
-        keep.unionByName(fresh).write.mode("overwrite").parquet(f"{self.root}/v{v + 1}")
-        tmp = self._path(f".tmp-{v + 1}")
-        self._fs.create(tmp, True).close()
-        if not self._fs.rename(tmp, self._path(f"CURRENT-{v + 1}")):
-            raise RuntimeError(f"version {v + 1} was written by another run")
-        return v + 1
+        if old["folders"]:
+            from strata.runtime import cut
+
+            fresh = cut(fresh)
+            touched = [r[0] for r in fresh.select(place).distinct().collect()]
+            kept = self.read(base, touched).withColumn("new", F.lit(0))
+            fresh = kept.unionByName(fresh.withColumn("new", F.lit(1)))
+        else:
+            fresh = fresh.withColumn("new", F.lit(1))
+        rows = fresh.groupBy("record_kind", "record_key").agg(F.max(F.struct("new", "content_hash")).alias("last")).select("record_kind", "record_key", F.col("last.content_hash").alias("content_hash"))
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.withColumn("bucket", place).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        new = [s.getPath().getName()[7:] for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("bucket=")]
+        folders = {**old["folders"], **dict.fromkeys(new, folder)}
+        if not publish(self.spark, f"{self.root}/version-{base + 1}", json.dumps({"buckets": old["buckets"], "folders": folders}).encode()):
+            raise RuntimeError(f"version {base + 1} was written by another run")
+        return base + 1
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete all but the last versions, and the buckets that only deleted versions name. Folders of runs under way stay."""
+        versions = self._versions()
+        named = {v: set(self.manifest(v)["folders"].items()) for v in versions}
+        live = set().union(*(named[v] for v in versions[-keep:]))
+        for v in versions[:-keep]:
+            self._fs.delete(self._path(f"version-{v}"), False)
+            for b, f in named[v] - live:
+                self._fs.delete(self._path(f"{f}/bucket={b}"), True)

@@ -36,11 +36,6 @@ def latest_per_key(df: DataFrame, key: str, order: list[str], take: list[str]) -
     return done.select("key_value", "n", *(F.col(f"last.{c}").alias(c) for c in take))
 
 
-def salted(df: DataFrame, key: str, salts: int = 64) -> DataFrame:
-    """df spread over salts partitions within each key, for aggregates whose state isn't compact (two levels: key and salt, then key)."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).repartition(F.col(key), F.col("_salt"))
-
-
 def distinct_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key_value, n_distinct): exact distinct counts in two levels - pairs first, spread over all tasks, then one count per key."""
     pairs = df.select(F.col(key).alias("key_value"), F.col(value).alias("v")).where("v IS NOT NULL").distinct()

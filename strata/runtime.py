@@ -56,3 +56,29 @@ def null_safe_key(*cols: Column | str) -> Column:
     """One string key of several columns in which a null differs from every text."""
     parts = [F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit("~")) for c in cols]
     return F.concat_ws("\x1f", *parts)
+
+
+def publish(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Make the file path with these bytes, whole or not at all; False, with nothing changed, if it is there already.
+
+    The bytes are written beside it and renamed without overwriting, as Spark's own streaming logs are.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    target = fs.Path(path)
+    tmp = fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    files = fs.FileContext.getFileContext(target.getParent().toUri(), spark._jsc.hadoopConfiguration())
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(tmp, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    plain = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        files.rename(tmp, target, plain)
+        return True
+    except Exception as e:  # noqa: BLE001
+        system.delete(tmp, False)
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strata import model
+from strata.runtime import publish
 
 _INDEX = {"code_terms": "term string, doc_id long, tf long, positions array<int>", "code_lengths": "doc_id long, len int", "diff_terms": "term string, doc_id long, tf long, positions array<int>", "diff_lengths": "doc_id long, len int"}
 
@@ -66,13 +67,6 @@ class Store:
                 # sorted within files: min and max of the key prune row groups, as a secondary index would
                 (df.sortWithinPartitions(key) if key else df).write.parquet(f"{self.root}/{part}")
                 now[name] = [part] if kind == "new" else [*now.get(name, []), part]
-        tmp = self._Path(f"{self.root}/.manifest-{version + 1}-{uuid.uuid4().hex[:8]}")
-        out = self._fs.create(tmp, True)
-        try:
-            out.write(bytearray(json.dumps(now, indent=1).encode()))
-        finally:
-            out.close()
-        target = self._Path(f"{self.root}/manifest-{version + 1}.json")
-        if self._fs.exists(target) or not self._fs.rename(tmp, target):
+        if not publish(self.spark, f"{self.root}/manifest-{version + 1}.json", json.dumps(now, indent=1).encode()):
             raise RuntimeError(f"version {version + 1} was written by another run")
         return version + 1

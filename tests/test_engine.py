@@ -60,9 +60,15 @@ def test_sql_and_functions(engine):
     assert engine.sql("SELECT count(*) AS n FROM symbols").first()["n"] == 3
     assert [r.blob_id for r in engine.sql("SELECT blob_id FROM code_search('helper')").collect()] == [1]
     assert [r.doc_id for r in engine.sql("SELECT doc_id FROM diff_search('func.main', true)").collect()] == [7]
-    for bad in ("DROP TABLE x", "INSERT INTO symbols VALUES (1)", "CREATE VIEW v AS SELECT 1", " /* c */ DELETE FROM symbols"):
+    for bad in (
+        "DROP TABLE x", "INSERT INTO symbols VALUES (1)", "CREATE VIEW v AS SELECT 1", " /* c */ DELETE FROM symbols", "CREATE TABLE t AS SELECT 1", "SET spark.sql.ansi.enabled = false",
+        "WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '/tmp/never' USING json SELECT * FROM a", "FROM symbols INSERT OVERWRITE DIRECTORY '/tmp/never' USING json SELECT *", "EXPLAIN INSERT INTO symbols VALUES (1)",
+        "CACHE TABLE symbols", "BEGIN DELETE FROM symbols; END", "MERGE INTO a USING b ON a.x = b.x WHEN MATCHED THEN DELETE", "UPDATE symbols SET name = 'x'", "TRUNCATE TABLE symbols", "FROM symbols INSERT INTO a SELECT * INSERT INTO b SELECT *",
+    ):
         with pytest.raises(ValueError):
             engine.sql(bad)
+    for good in ("SHOW TABLES", "DESCRIBE symbols", "EXPLAIN SELECT 1", "VALUES (1)", "FROM symbols SELECT id", "WITH a AS (SELECT id FROM symbols) SELECT * FROM a WHERE id IN (SELECT id FROM a)", "FROM symbols |> SELECT id"):
+        assert engine.sql(good).count() > 0, good
     assert "code_search" in engine.translate("helper").sql
 
 

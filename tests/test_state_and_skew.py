@@ -23,20 +23,45 @@ def test_new_or_changed_over_runs(spark):
     assert I.new_or_changed(I.hashed(back, "commit", F.col("hash"), ["timestamp"]), I.state_of_runs(log, wrote)).count() == 1
 
 
-def test_state_store_survives_failures(spark, tmp_path):
-    store = I.StateStore(spark, str(tmp_path / "state"))
+def test_state_store_survives_failures(spark, tmp_path, monkeypatch):
+    store = I.StateStore(spark, str(tmp_path / "state"), 4)
     cur = lambda data: I.hashed(spark.createDataFrame(data, "k string, v long"), "x", F.col("k"), ["v"])
     first = cur([("a", 1), ("b", 2)])
     assert store.version() == 0 and store.pending(first).count() == 2
-    # a run that dies after writing rows, before its marker
-    first.write.parquet(str(tmp_path / "state" / "v1"))
+    # a run that dies after writing rows, before its version
+    with monkeypatch.context() as m:
+        m.setattr(I, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.commit(store.pending(first))
     assert store.version() == 0 and store.pending(first).count() == 2
     assert store.commit(store.pending(first)) == 1 and store.pending(first).count() == 0
-    second = cur([("a", 1), ("b", 3), ("c", 4)])
+    second = cur([("a", 1), ("b", 3), ("c", 4), (None, 1)])
     todo = store.pending(second)
-    assert {r.record_key for r in todo.collect()} == {"b", "c"}
-    assert store.commit(todo) == 2 and store.pending(second).count() == 0
+    assert {r.record_key for r in todo.collect()} == {"b", "c", None}
+    with monkeypatch.context() as m:
+        m.setattr(I, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.commit(todo)
+    assert store.version() == 1 and {r.record_key for r in store.pending(second).collect()} == {"b", "c", None}
+    assert store.commit(todo) == 2 and [r.record_key for r in store.pending(second).collect()] == [None]
     assert store.pending(cur([("b", 2)])).count() == 1
+    assert store.commit(cur([])) == 3 and store.pending(first).count() == 1
+    store.vacuum(1)
+    assert store.version() == 3 and store.read().count() == 3 and store._versions() == [3]
+
+
+def test_state_store_refuses_a_beaten_run(spark, tmp_path):
+    """Two runs start from one version: the second to commit fails and changes nothing."""
+    a, b = (I.StateStore(spark, str(tmp_path / "state"), 4) for _ in range(2))
+    cur = lambda data: I.hashed(spark.createDataFrame(data, "k string, v long"), "x", F.col("k"), ["v"])
+    assert a.commit(cur([("a", 1)]), 0) == 1
+    with pytest.raises(RuntimeError):
+        b.commit(cur([("b", 1)]), 0)
+    assert [r.record_key for r in b.read().collect()] == ["a"]
+    # each bucket not touched is named by the new version as it was
+    assert b.commit(cur([(k, 1) for k in "bcdefgh"]), 1) == 2 and a.read().count() == 8
+    assert a.commit(cur([("a", 2)]), 2) == 3 and a.read().count() == 8
+    assert a.pending(cur([("a", 1)])).count() == 1 and a.pending(cur([("a", 2)])).count() == 0
 
 
 def test_heavy_keys(spark):
@@ -52,7 +77,6 @@ def test_latest_and_distinct_with_ties_and_nulls(spark):
     got = {r.key_value: (r.n, r.h) for r in S.latest_per_key(df, "k", ["ts", "h"], ["h"]).collect()}
     assert got == {1: (3, "b"), 2: (2, "q")}
     assert {r.key_value: r.n_distinct for r in S.distinct_per_key(df, "k", "h").collect()} == {1: 3, 2: 1}
-    assert S.salted(df, "k", 8).count() == 5
 
 
 def test_upsert_replace_and_tree_diff(spark):
