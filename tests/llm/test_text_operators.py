@@ -208,37 +208,56 @@ NATURAL = [
 ]
 
 
-def test_rules():
-    for t in RESIDUE:
-        assert residue.reason(t), t
-    for t in NATURAL:
-        assert residue.reason(t) is None, t
+PROSE = "We check each record before the reader reaches the end. The old cache took 300 ms per file; the new one takes 40. Fixes #88: the late page was dropped when the server failed. Please read the request in a separate commit, it hides the browser fix. If the session is empty, run the tool and read the output. Wir prüfen jeden Eintrag, bevor der Leser ihn erreicht. Appelez la fonction pour ouvrir la page.. Nobody should enable a filter by hand, since the view depends on it. Each user owns one project, and a title may point to several.".split(". ")
+
+
+WHO = "the reader, each server, this parser, a writer, the new cache, every commit, our index, the branch, one of the files, the window, der Leser, le tampon, el registro".split(", ")
+DOES = "reads, checks before the others, splits, keeps, moves to, returns, waits for, merges, hides, rebuilds, prüft, trie, guarda".split(", ")
+WHAT = "the record, the columns of the table, a list of projects, the old text, an offset, the body of the answer, its symbol, the tests, the snapshot, den Eintrag, le paquet, el bloque".split(", ")
+WHEN = "after the release, when it is late, before you start, in 300 ms, again and again, because the cache was old, for the owner, on the main branch, bis zum Ende, après la fusion, cada día".split(", ")
+
+
+def prose(n, k=4, seed=2):
+    """Natural texts of many different sentences, some of them of the phrases above."""
+    r = random.Random(seed)
+    made = lambda: " ".join(r.choice(x) for x in (WHO, DOES, WHAT, WHEN)).capitalize()
+    return [". ".join(r.choice(PROSE) if r.random() < 0.2 else made() for _ in range(k)) + "." for _ in range(n)]
 
 
 def test_residue_operator(spark):
-    prose = "We check each record before the reader reaches the end. The old cache took 300 ms per file; the new one takes 40. "
-    rows = [(i, t) for i, t in enumerate(RESIDUE)] + [(100 + i, t) for i, t in enumerate(NATURAL)] + [(1000 + i, prose * 3) for i in range(150)] + [(5000, None), (0, RESIDUE[0]), (6000, prose * 2000 + "Text goes here.")]
+    rows = [(i, t) for i, t in enumerate(RESIDUE)] + [(100 + i, t) for i, t in enumerate(NATURAL)] + [(1000 + i, t) for i, t in enumerate(prose(400))] + [(5000, None), (0, RESIDUE[0]), (6000, ". ".join(PROSE * 300) + ". Text goes here."), (7000, "x" * 300_000)]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, reason int")
-    got = residue.find_residue(df).collect()
-    assert sorted(r.doc_id for r in got) == [*range(len(RESIDUE)), 6000]
-    assert {r.doc_id for r in residue.find_residue(df, 0.5).collect()} < {r.doc_id for r in got}
+    got = {r.doc_id: r for r in residue.find_residue(df).collect()}
+    texts = dict(rows)
+    assert sorted(got) == [*range(len(RESIDUE)), 6000], [texts[i] for i in set(got) ^ {*range(len(RESIDUE)), 6000}]
+    assert got[0].reason == "filler" and got[6000].coverage < 0.01 < 0.9 < got[0].coverage
+    half = {r.doc_id for r in residue.find_residue(df, 0.5).collect()}
+    assert half < set(got) and 6000 not in half
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_models_decide(spark, monkeypatch):
+    """Without its samples a kind of residue is no longer found: no rule beside the models finds it."""
+    df = spark.createDataFrame([(1, "404 Not Found"), (2, "Text goes here."), *((10 + i, t) for i, t in enumerate(prose(100)))], "doc_id long, text string")
+    ratio = residue.fit(df)
+    bad = lambda t, r: any(residue.residue_sentences(n, size).any() for _, _, _, n, size in residue.score([t], r))
+    assert bad("404 Not Found", ratio) and bad("Text goes here.", ratio) and not bad(PROSE[0], ratio)
+    none = ratio.copy()
+    none[1] = -1
+    assert not bad("404 Not Found", none) and bad("Text goes here.", none)
+
+
 def test_many_copies_of_residue_stay_residue(spark):
-    words = "we check each record before the reader gets to the end and the old cache took more time per file than new ones do".split()
-    r = random.Random(2)
     notice = "Please enable JavaScript to view the file browser."
-    rows = [(i, " ".join(r.choices(words, k=20))) for i in range(200)] + [(1000 + i, notice) for i in range(100)]
+    rows = list(enumerate(prose(200))) + [(1000 + i, notice) for i in range(100)] + [(2000 + i, f"This page could not be loaded. Try again later. (request {i:012x})") for i in range(100)]
     got = {x.doc_id for x in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == set(range(1000, 1100))
+    assert got == {*range(1000, 1100), *range(2000, 2100)}
 
 
-def test_windows_place_residue():
-    bg = np.zeros((2, residue.BUCKETS))
-    for k, x in enumerate(residue._views("We check each record before the reader reaches the end of the file.")):
-        np.add.at(bg[k], x, 5_000)
-    ratio = residue.model(bg)
-    assert residue.windows("Lorem ipsum dolor sit amet consectetur", ratio)[1] and not residue.windows("We check each record before the reader reaches the end of the file.", ratio)[1]
-    texts = ["Lorem ipsum dolor sit amet consectetur", "We check each record before the reader reaches the end of the file.", "", "x", "a\0b {name} c", "Ünïcode 𝔘 {x_y} __A_B__", "404 Not Found"] * 3
-    assert residue.flags(texts, ratio).tolist() == [residue.windows(t.replace("\0", " "), ratio)[1] for t in texts]
+def test_scores_don_t_depend_on_the_batch():
+    ratio = residue.model(np.full((2, residue.BUCKETS), 3.0))
+    texts = ["Lorem ipsum dolor sit amet consectetur", PROSE[0], "", "x", "a\0b {name} c", "Ünïcode 𝔘 {x_y} __A_B__", "404 Not Found", "..."] * 3
+    whole = [(n, size) for _, _, _, n, size in residue.score(texts, ratio)]
+    each = [(n, size) for t in texts for _, _, _, n, size in residue.score([t], ratio)]
+    for k in (0, 1):
+        assert np.concatenate([x[k] for x in whole], 1).tolist() == np.concatenate([x[k] for x in each if x[k].size], 1).tolist()
