@@ -1,19 +1,23 @@
 """Operator: credentials embedded in source code and configuration.
 
-Each text is read line by line as a sequence of key-value pairs with offsets - the forms of JSON, YAML, TOML, INI, env
-files, netrc, connection strings, command options, call arguments and assignments of programming languages - and each
-pair is judged by its key's name and its value's shape. Values of known credential formats, passwords in URLs, HTTP
-authorisation headers and private-key blocks count under any key. Redactions are spliced into the original text.
+Texts in a configuration format - JSON, YAML, TOML, INI, env and properties - are parsed into key paths with offsets, each
+side of a diff by itself, and a value is judged by all keys above it and by its shape. Program code and prose, comments and
+scripts inside configuration included, are read line by line for assignments, call arguments, command options and
+connection strings. Values of known credential formats, passwords in URLs, HTTP authorisation headers and private-key
+blocks count under any key. Redactions are spliced into the original bytes.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strata.llm import config_formats
+
 #: Lower-case strings of which a line must hold one to be read closely (fixed values).
 TRIGGERS = (
     "pass", "pwd", "pw=", "pw:", "pw ", "pw\t", "pw(", "pw[", "pw]", "pw\"", "pw'", "pw`", "_pw", "secret", "token", "key", "bearer", "basic ", "kennwort", "contrase", "credential", "authorization", "://", "-u ", "-u=", "--user", "akia", "asia", "aiza", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_",
@@ -57,6 +61,29 @@ def key_class(key: str) -> str:
     return ""
 
 
+#: Keys that only carry the value of the key above, and keys whose value names what the carrier beside them holds (fixed values).
+_CARRIERS = {"value", "val", "default", "data", "current", "plain", "plaintext", "literal", "content", "raw", "new", "old", "primary", "secondary", "string", "stringvalue"}
+_NAMES = {"name", "key", "variable", "id", "field"}
+#: Keys below which everything that looks random is a credential (fixed values).
+_HOLDERS = {"secret", "secrets", "credential", "credentials", "passwords", "tokens", "apikeys"}
+
+
+def path_class(path: tuple[str, ...], named: str = "") -> str:
+    """key_class of the last key; of a carrier that of the key above it, or of named, the name given beside it; below a
+    holder of secrets shape for every key that doesn't merely speak of one."""
+    for i in range(len(path) - 1, -1, -1):
+        if kind := key_class(path[i]):
+            return kind
+        if path[i].lower() not in _CARRIERS:
+            break
+        if kind := key_class(named):
+            return kind
+    words = [w.lower() for w in _WORDS.findall(path[-1])] if path else []
+    if words and words[-1] not in _ABOUT and any(_HOLDERS & {w.lower() for w in _WORDS.findall(k)} for k in path[:-1]):
+        return "shape"
+    return ""
+
+
 def classes(value: str) -> int:
     return bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search(r"\d", value)) + bool(re.search(r"[^\w\s.\-/]", value))
 
@@ -94,8 +121,8 @@ def _unquoted_end(line: str, at: int) -> int:
     return end
 
 
-def line_hits(line: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, key, rule) of each credential in a line, by place."""
+def line_hits(line: str, pairs: bool = True) -> list[tuple[int, int, str, str]]:
+    """(start, end, key, rule) of each credential in a line, by place; without pairs only those that need no key."""
     out: dict[int, tuple[int, int, str, str]] = {}
 
     def add(a: int, b: int, key: str, rule: str) -> None:
@@ -114,7 +141,7 @@ def line_hits(line: str) -> list[tuple[int, int, str, str]]:
             if is_literal_secret(v, "strong" if rule in ("url", "option", "netrc") else "shape", True) or rule == "header" and not _PLACEHOLDER.match(v) and len(set(v)) > 7 and re.search(r"\d", v):
                 add(m.start(g), m.end(g), "", rule)
     at = 0
-    while m := PAIR.search(line, at):
+    while pairs and (m := PAIR.search(line, at)):
         at = max(m.end("key"), m.start() + 1)
         key = m.group("key")
         kind = key_class(key)
@@ -137,7 +164,7 @@ def line_hits(line: str) -> list[tuple[int, int, str, str]]:
             if is_literal_secret(line[a:b], kind, False) and not rest.startswith(("(", "[", ".")):
                 add(a, b, key, "pair")
                 at = b
-    if not out:
+    if pairs and not out:
         for m in PROSE.finditer(line):
             v = m.group("value").rstrip(".,:")
             if classes(v) >= 3 and re.search(r"\d", v) and re.search(r"[!#%+@^&*~?]", v) and is_literal_secret(v, "strong", True) and "://" not in v:
@@ -146,7 +173,8 @@ def line_hits(line: str) -> list[tuple[int, int, str, str]]:
 
 
 _OPEN_END = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'`]?\]?[ \t]*(?:[:=]|:=|=>)[ \t]*(?:\(|[>|][+-]?|\\|\"|'|`)?[ \t]*\r?$")
-_NEXT = re.compile(r"[-+]?[ \t]*(?:[bru]?([\"'`]))?([^\s\"'`]+)\1?")
+_BELOW = re.compile(r"[ \t]+(?:[bru]?([\"'`]))?([^\s\"'`]+)(?:\1[ \t]*[,)]?)?[ \t]*$")
+_TABLE = re.compile(r"\r?\n[ \t]*[\"'`]")
 
 
 def _automaton():
@@ -159,12 +187,15 @@ def _automaton():
     return a
 
 
-def text_hits(text: str, diff: bool, automaton) -> list[tuple[int, int, int, str, str]]:
-    """(line number, start, end, key, rule) of every credential of a text; offsets count characters of the whole text."""
+Hit = tuple[int, int, str, str]
+
+
+def code_hits(text: str, automaton) -> list[Hit]:
+    """(start, end, key, rule) of every credential of a program or other text that is read by lines."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out, done, number, counted = [], -1, 1, 0
+    out, done = [], -1
     for end, _ in automaton.iter(low):
         if end < done:
             continue
@@ -173,43 +204,96 @@ def text_hits(text: str, diff: bool, automaton) -> list[tuple[int, int, int, str
         stop = len(text) if stop < 0 else stop
         done = stop
         line = text[start:stop].rstrip("\r")
-        skip = 1 if diff and line[:1] in ("+", "-", " ") else 0
-        hits = line_hits(line[skip:])
+        hits = line_hits(line)
         if hits:
-            number += text.count("\n", counted, start)
-            counted = start
-            out += [(number, start + skip + a, start + skip + b, key, rule) for a, b, key, rule in hits]
-        elif (m := _OPEN_END.search(line, skip)) and (kind := key_class(m.group(1))) and stop < len(text):
+            out += [(start + a, start + b, key, rule) for a, b, key, rule in hits]
+        elif (m := _OPEN_END.search(line)) and (kind := key_class(m.group(1))) and stop < len(text):
             nstop = text.find("\n", stop + 1)
             nstop = len(text) if nstop < 0 else nstop
-            nxt = text[stop + 1 : nstop].rstrip("\r")
-            nskip = 1 if diff and nxt[:1] in ("+", "-", " ") else 0
-            body = nxt[nskip:]
-            n = re.match(r"[ \t]+(?:[bru]?([\"'`]))?([^\s\"'`]+)(?:\1[ \t]*[,)]?)?[ \t]*$", body)
+            body = text[stop + 1 : nstop].rstrip("\r")
+            n = _BELOW.match(body)
             # more literals below make a table, not a credential
-            table = n and n.group(1) and re.match(r"\r?\n[-+]?[ \t]*[\"'`]", text[nstop : nstop + 200])
+            table = n and n.group(1) and _TABLE.match(text, nstop)
             if n and not table and is_literal_secret(n.group(2), kind, bool(n.group(1))) and not SHAPES.search(body) and not re.match(r"[ \t]+[\w-]+:(?:\s|$)", body):
-                number += text.count("\n", counted, stop + 1)
-                counted = stop + 1
-                out.append((number, stop + 1 + nskip + n.start(2), stop + 1 + nskip + n.end(2), m.group(1), "pair"))
+                out.append((stop + 1 + n.start(2), stop + 1 + n.end(2), m.group(1), "pair"))
     return out
 
 
-def key_path(text: str, start: int, key: str) -> str:
-    """The keys above a value by indentation, outermost first, ending with its own."""
-    at = text.rfind("\n", 0, start) + 1
-    own = re.match(r"[-+]?[ \t]*", text[at:]).end()
-    names = [key] if key else []
-    while at > 0 and own > 0:
-        prev = text.rfind("\n", 0, at - 1) + 1
-        line = text[prev : at - 1]
-        at = prev
-        ind = re.match(r"[-+]?[ \t]*", line).end()
-        if line.strip() and ind < own:
-            own = ind
-            if m := re.match(r"[-+]?[ \t]*[\"']?([\w$.-]+)[\"']?[ \t]*[:=]?[ \t]*[\[{(|>-]*[ \t]*\r?$", line):
-                names.append(m.group(1))
-    return ".".join(reversed(names))
+def config_hits(text: str, parsed: config_formats.Parsed, automaton) -> list[Hit]:
+    """(start, end, key path, rule) of every credential of a parsed configuration text."""
+    out: list[Hit] = []
+    spans: list[tuple[int, int]] = []
+
+    def add(a: int, b: int, key: str, rule: str) -> None:
+        i = bisect.bisect_left(spans, (a, b))
+        if b > a and not (i < len(spans) and spans[i][0] < b) and not (i and spans[i - 1][1] > a):
+            spans.insert(i, (a, b))
+            out.append((a, b, key, rule))
+
+    names = {e.frame: text[e.start : e.end] for e in parsed.entries if e.path and e.path[-1].lower() in _NAMES}
+    where = sorted((e.start, e.end, ".".join(e.path)) for e in parsed.entries)
+    # what needs no key: in every line
+    at = 0
+    for line in text.split("\n"):
+        for a, b, _, rule in line_hits(line.rstrip("\r"), False):
+            i = bisect.bisect_right(where, (at + a, len(text), "")) - 1
+            add(at + a, at + b, where[i][2] if i >= 0 and where[i][1] > at + a else "", rule)
+        at += len(line) + 1
+    for e in parsed.entries:
+        value = text[e.start : e.end]
+        if (kind := path_class(e.path, names.get(e.frame, ""))) and is_literal_secret(value, kind, e.quoted):
+            add(e.start, e.end, ".".join(e.path), "pair")
+        elif any(c in value for c in "=:"):
+            # a value that is a text with pairs of its own
+            for a, b, key, rule in code_hits(value, automaton):
+                add(e.start + a, e.start + b, ".".join((*e.path, key) if key else e.path), rule)
+    for a, b in parsed.other:
+        for s, t, key, rule in code_hits(text[a:b], automaton):
+            add(a + s, a + t, key, rule)
+    return sorted(out)
+
+
+def _sides(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Old and new side of a diff without its signs: (text, begin of each line in it, begin of the line in the diff)."""
+    for signs in ("- ", "+ "):
+        parts, here, there, at, size = [], [], [], 0, 0
+        for i, line in enumerate(text.split("\n")):
+            if line[:1] in signs and line and not (i < 2 and line[:4] in ("--- ", "+++ ")):
+                parts.append(line[1:])
+                here.append(size)
+                there.append(at + 1)
+                size += len(line)
+            at += len(line) + 1
+        yield "\n".join(parts), here, there
+
+
+def plain_hits(text: str, automaton) -> list[Hit]:
+    """(start, end, key path, rule) of a text that is no diff: of a configuration format, or of code."""
+    if next(automaton.iter(text.lower()), None) is None:
+        return []
+    parsed = config_formats.parse(text)
+    if parsed is not None:
+        return config_hits(text, parsed, automaton)
+    return [(a, b, key, rule) for a, b, key, rule in code_hits(text, automaton)]
+
+
+def text_hits(text: str, diff: bool, automaton) -> list[tuple[int, int, int, str, str]]:
+    """(line number, start, end, key path, rule) of every credential of a text, by place; offsets count characters of the whole text."""
+    if diff:
+        found: dict[int, Hit] = {}
+        for side, here, there in _sides(text):
+            for a, b, key, rule in plain_hits(side, automaton):
+                i = bisect.bisect_right(here, a) - 1
+                found.setdefault(there[i] + a - here[i], (there[i] + a - here[i], there[i] + b - here[i], key, rule))
+        hits = sorted(found.values())
+    else:
+        hits = plain_hits(text, automaton)
+    out, number, counted = [], 1, 0
+    for a, b, key, rule in hits:
+        number += text.count("\n", counted, a)
+        counted = a
+        out.append((number, a, b, key, rule))
+    return out
 
 
 _MARK = re.compile(r"-----(END|BEGIN)")
@@ -233,22 +317,35 @@ def _key_end(text: str, at: int) -> int:
     return min(end, stop)
 
 
+def byte_offsets(text: str, places: list[int]) -> list[int]:
+    """Offsets of ascending places of a text in its UTF-8 bytes."""
+    out, at, size = [], 0, 0
+    for p in places:
+        size += len(text[at:p].encode("utf-8", "surrogatepass"))
+        at = p
+        out.append(size)
+    return out
+
+
 def redact(text: str, hits: list[tuple[int, int, int, str, str]]) -> str:
-    """text with every credential replaced by REDACTED; of a private-key block the lines between its marks, or without END those of the form
+    """text with every credential replaced by REDACTED in its bytes; of a private-key block the lines between its marks, or without END those of the form
     of key text, become x's of the same form. Nothing else changes, so quotes, commas, line numbers and layout stay."""
-    out, at = [], 0
+    cuts, at = [], 0
     for _, a, b, _, rule in sorted(hits, key=lambda h: h[1]):
         if a < at:
             continue
         if rule == "private-key":
-            stop = _key_end(text, b)
-            body = re.sub(r"\\n|\\r|[A-Za-z0-9/]", lambda m: m.group() if len(m.group()) > 1 else "x", text[b:stop])
-            out.append(text[at:b] + body)
-            at = stop
+            at = _key_end(text, b)
+            cuts.append((b, at, re.sub(r"\\n|\\r|[A-Za-z0-9/]", lambda m: m.group() if len(m.group()) > 1 else "x", text[b:at])))
         else:
-            out.append(text[at:a] + "REDACTED")
             at = b
-    return "".join(out) + text[at:]
+            cuts.append((a, b, "REDACTED"))
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    places = byte_offsets(text, [p for a, b, _ in cuts for p in (a, b)])
+    for a, b, (_, _, new) in zip(places[::2], places[1::2], cuts):
+        out += [raw[at:a], new.encode("utf-8", "surrogatepass")]
+        at = b
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +354,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[] for _ in names]
         for k, index, t in zip(b.column("doc_key").to_pylist(), b.column("index_name").to_pylist(), b.column("content").to_pylist()):
-            for number, s, e, key, rule in text_hits(t, index == "diff", auto):
-                sb = len(t[:s].encode("utf-8", "surrogatepass"))
-                for c, v in zip(cols, (k, number, sb, sb + len(t[s:e].encode("utf-8", "surrogatepass")), key_path(t, s, key), rule)):
+            hits = text_hits(t, index == "diff", auto)
+            places = byte_offsets(t, [p for h in hits for p in h[1:3]])
+            for (number, _, _, key, rule), s, e in zip(hits, places[::2], places[1::2]):
+                for c, v in zip(cols, (k, number, s, e, key, rule)):
                     c.append(v)
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)

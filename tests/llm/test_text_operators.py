@@ -118,10 +118,48 @@ def test_credential_operator(spark):
     assert secrets.find_credentials(docs.limit(0)).count() == 0
 
 
-def test_key_paths():
-    text = "db:\n  main:\n    host: x\n    password: deep7Router!yKu\n"
-    (hit,) = secrets.text_hits(text, False, secrets._automaton())
-    assert secrets.key_path(text, hit[1], hit[3]) == "db.main.password"
+CONFIG = [
+    ("db:\n  main:\n    host: x\n    password: deep7Router!yKu\n", {"db.main.password"}),
+    ('{"db": {"main": {"port": 1, "password": "deep7Router!yKu"}}, "x": [{"apiKey": "Zk93mQpL0aXc7VbN2t"}]}', {"db.main.password", "x.apiKey"}),
+    ('[db.main]\nhost = "x"\npassword = "deep7Router!yKu" # set by hand\nopts = { token = "Zk93mQpL0aXc7VbN2t" }\n', {"db.main.password", "db.main.opts.token"}),
+    ("secrets:\n  billing: Zk93mQpL0aXc7VbN2t\n  region: eu-west\n", {"secrets.billing"}),
+    ('{"password": {"value": "deep7Router!yKu", "policy": "long1Enough!x"}}', {"password.value"}),
+    ("env:\n  - name: DB_PASSWORD\n    value: deep7Router!yKu\n  - name: MODE\n    value: deep7Router!yKx\n", {"env.value"}),
+    ("password_policy:\n  min: deep7Router!yKu\n", set()),
+    ("jobs:\n  run: |\n    export PASSWORD='deep7Router!yKu'\n    make all\n  vault_password: >-\n    Archive+orphan51\n", {"PASSWORD", "jobs.vault_password"}),
+    ('a: {"b": {"secret": "deep7Router!yKu"}}\n"c d": \'x\'\n', {"a.b.secret"}),
+    ("spring.db.password=deep7Router!yKu\nspring.db.url=x\n# old pw=late3Folder!x0h until\n", {"spring.db.password", "pw"}),
+    ('[[s]]\nhost = "x"\npassword = "deep7Router!yKu"\n', {"s.password"}),
+    ('dsn = "postgres://svc:Symbol-eager48@h.example:1/x"\n', {"dsn"}),
+]
+
+
+@pytest.mark.parametrize("text, paths", CONFIG)
+def test_configuration_is_parsed(text, paths):
+    auto = secrets._automaton()
+    for t in (text, text.replace("\n", "\r\n")):
+        assert {h[3] for h in secrets.text_hits(t, False, auto)} == paths
+    diff = "--- a/x\n+++ b/x\n" + "".join(f"{sign}{line}\n" for sign in "-+" for line in text.rstrip("\n").split("\n"))
+    got = secrets.text_hits(diff, True, auto)
+    assert {h[3] for h in got} == paths and len(got) == 2 * len(secrets.text_hits(text, False, auto))
+    lines = diff.split("\n")
+    assert all(diff[a:b] in lines[n - 1] for n, a, b, _, _ in got)
+
+
+def test_redacted_configuration_parses():
+    import json
+    import tomllib
+
+    auto = secrets._automaton()
+    for text, _ in CONFIG:
+        out = secrets.redact(text, secrets.text_hits(text, False, auto))
+        assert out.count("REDACTED") == len(secrets.text_hits(text, False, auto)) and out.count("\n") == text.count("\n")
+        if text[0] == "{":
+            json.loads(out)
+        if text[0] == "[":
+            tomllib.loads(out)
+    for broken in ("{" * 5000, '{"password": "', "password: [", "a: |\n", '"', "password:", "- - - x: 'y", "[x\npassword = {", "password = " + "'" * 99, "password = '''"):
+        secrets.text_hits(broken, False, auto)
 
 
 # --- tokenizer
