@@ -14,14 +14,19 @@ from strata.llm import syntax
 BATCH_TEXTS, BATCH_CHARS = 4_000, 8_000_000
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(blob_id, content) of the code texts; keys that name no blob and null texts drop out. No shuffle."""
+    key = F.regexp_extract("doc_key", r"^blob_(\d+)$", 1).try_cast("long")
+    return docs.where("index_name = 'code' AND content IS NOT NULL").select(key.alias("blob_id"), "content").where("blob_id IS NOT NULL")
+
+
 def code_texts(docs: DataFrame, blobs: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """(blob_id, language, content) of the code texts; blobs without a text and keys that name no blob drop out.
 
     Exact copies of a row may stay: later steps return distinct keys. The blob side is narrow, so that adaptive execution
     can broadcast it where it is small; the text is moved at most once.
     """
-    key = F.regexp_extract("doc_key", r"^blob_(\d+)$", 1).try_cast("long")
-    code = docs.where("index_name = 'code' AND content IS NOT NULL").select(key.alias("blob_id"), "content").where("blob_id IS NOT NULL")
+    code = keyed_texts(docs)
     known = blobs.select(F.col("id").cast("long").alias("blob_id"), "language")
     if languages:
         known = known.where(F.col("language").isin(languages))

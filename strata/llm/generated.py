@@ -1,4 +1,9 @@
-"""Operator: generated, minified, vendored and bulk-data files among source files."""
+"""Operator: generated, minified, vendored and bulk-data files among source files.
+
+Notices are matched by a multi-pattern automaton in the comments at the head and at the foot of a file, where tools write
+them; path rules cover vendored and output folders, lockfiles and the endings that tools give. Minified texts and bulk data
+under plain names, which say nothing of themselves, are told by the shape of their lines.
+"""
 
 from __future__ import annotations
 
@@ -29,9 +34,9 @@ OUTPUT_NAMES = (
 #: Languages whose files always count as written by hand.
 HAND_LANGUAGES = ("json", "yaml", "markdown", "shell")
 #: Lines of this length, dense in marks and poor in spaces, are no hand's work where they make up half of a text.
-LONG_LINE, MINIFIED_CHARS = 200, 500
-#: Characters and share of a text that literal data must reach to be bulk data.
-DATA_CHARS, DATA_SHARE = 1_500, 0.7
+LONG_LINE = 200
+#: Characters from which a table of literals is bulk data; shorter ones are written by hand, whatever else they are. Its share of the text.
+DATA_CHARS, DATA_SHARE = 800, 0.7
 
 
 def path_rule() -> str:
@@ -55,25 +60,59 @@ def _automaton():
     return a
 
 
+#: Lines that may stand above or between the comments at a file's head: package, import and the like.
+_PREAMBLE = re.compile(r"\s*(?:package\b|import\b|from\b.*\bimport\b|use\b|using\b|#\s*(?:include|define|ifndef|ifdef|pragma|if\b|endif)|['\"]use strict['\"]|#!|<\?|mod\b|extern crate|module\b)")
+
+
+def head_end(text: str) -> int:
+    """Where the comments, blank lines and imports that a file begins with are over."""
+    at, block = 0, ""
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop].strip()
+        if block:
+            block = "" if block in line else block
+        elif line.startswith("/*"):
+            block = "" if "*/" in line[2:] else "*/"
+        elif line[:3] in ('"""', "'''"):
+            block = "" if line.count(line[:3]) > 1 else line[:3]
+        elif line and not _COMMENT.match(line) and not _PREAMBLE.match(line):
+            return at
+        at = stop + 1
+    return len(text)
+
+
+def foot_begin(text: str) -> int:
+    """Where the comments and blank lines that a file ends with begin."""
+    at = len(text)
+    while at > 0:
+        start = text.rfind("\n", 0, at) + 1
+        line = text[start:at].strip()
+        if line and not _COMMENT.match(line) and not line.endswith("*/"):
+            break
+        at = start - 1
+    return max(at, 0)
+
+
 def notice_in(text: str, automaton) -> str | None:
-    """Kind of the first notice that stands in a comment; one inside a string or a program line is no notice."""
+    """Kind of the first notice in a comment at the head or foot of the text; one in a string or among program lines is no notice."""
     low = text.lower()
     if len(low) != len(text):
         text = low
-    for end, (kind, phrase) in automaton.iter(low):
-        start = text.rfind("\n", 0, end) + 1
-        line = text[start : end + 1]
-        if _COMMENT.match(line):
-            return kind
+    head, foot = head_end(text), foot_begin(text)
+    for a, z in ((0, head), (max(head, foot), len(low))):
+        for end, (kind, phrase) in automaton.iter(low, a, z):
+            start = text.rfind("\n", 0, end) + 1
+            if _COMMENT.match(text[start : end + 1]):
+                return kind
     return None
 
 
 def is_minified(text: str) -> bool:
     """Half of the text or more stands in long lines that have few spaces and many program marks."""
-    if len(text) < MINIFIED_CHARS:
-        return False
     long = "".join(line for line in text.split("\n") if len(line) >= LONG_LINE)
-    if len(long) < max(MINIFIED_CHARS, 0.5 * len(text.strip())):
+    if not long or len(long) < 0.5 * len(text.strip()):
         return False
     return long.count(" ") < 0.12 * len(long) and sum(map(long.count, "(){}[];,=")) > 0.08 * len(long)
 
@@ -105,16 +144,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(why, pa.string())], names=["blob_id", "reason"])
 
 
-def not_hand_written(texts: DataFrame, file_revs: DataFrame) -> DataFrame:
-    """(blob_id, reason) of the texts (blob_id, language, content) that nobody wrote by hand for this project.
+def not_hand_written(texts: DataFrame, blobs: DataFrame, file_revs: DataFrame) -> DataFrame:
+    """(blob_id, reason) of the texts (blob_id, content) that nobody wrote by hand for this project.
 
     Reasons: generated or vendored (a notice in a comment), minified, data, or path (any path of the blob lies in a vendored
-    or output folder or has a tool's ending). A blob may have several reasons. Null languages and json, yaml, markdown and
-    shell always count as hand-written; null and empty texts are never a case by their text. The path rule is one scan of
-    file_revs in the JVM; only the blobs it names are shuffled, once each, however many revisions they have.
+    or output folder or has a tool's ending). A blob may have several reasons. Null languages in blobs (id, language) and json, yaml, markdown and
+    shell always count as hand-written; null and empty texts are never a case by their text. Texts are judged where they lie, and
+    only the ids of those that are a case by their text are shuffled; the path rule is one scan of
+    file_revs in the JVM, and only the blobs it names are shuffled, once each, however many revisions they have.
     """
-    code = texts.where(F.col("language").isNotNull() & ~F.col("language").isin(*HAND_LANGUAGES))
-    by_text = code.where("content IS NOT NULL").select("blob_id", "content").mapInArrow(_texts, "blob_id long, reason string")
-    by_path = file_revs.where(F.lower("path").rlike(path_rule())).select("blob_id").distinct().withColumn("reason", F.lit("path"))
-    by_path = code.select("blob_id").join(by_path, "blob_id").select("blob_id", "reason")
-    return by_text.union(by_path).distinct()
+    by_text = texts.where("content IS NOT NULL").select("blob_id", "content").mapInArrow(_texts, "blob_id long, reason string")
+    by_path = file_revs.where(F.lower("path").rlike(path_rule())).select(F.col("blob_id").cast("long").alias("blob_id")).distinct()
+    by_path = texts.select("blob_id").distinct().join(by_path, "blob_id").select("blob_id", F.lit("path").alias("reason"))
+    code = blobs.where(F.col("language").isNotNull() & ~F.col("language").isin(*HAND_LANGUAGES)).select(F.col("id").cast("long").alias("blob_id")).distinct()
+    return by_text.union(by_path).distinct().join(code, "blob_id", "left_semi")

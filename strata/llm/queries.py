@@ -40,11 +40,11 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return generated.not_hand_written(_code(spark, d), table(spark, d, "file_revs")).select("blob_id").distinct()
+    return p6_reasons(spark, d).select("blob_id").distinct()
 
 
 def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return generated.not_hand_written(_code(spark, d), table(spark, d, "file_revs"))
+    return generated.not_hand_written(broken.keyed_texts(table(spark, d, "bleve_docs")), table(spark, d, "blobs"), table(spark, d, "file_revs"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import generated, leaks, residue, secrets, tokenize
 
@@ -23,6 +24,9 @@ def test_verdicts():
     assert generated.verdict("\n".join("for(var i=0;i<9;i++)a[i]=b?c:9;function d(e){return e[0]}" * 5 for _ in range(12)), a) == "minified"
     assert generated.verdict("TABLE = [\n" + "\n".join("    " + ", ".join(map(str, range(20))) + "," for _ in range(40)) + "\n]\n", a) == "data"
     assert generated.verdict("X = [1, 2, 3]\n" + code, a) is None
+    assert generated.verdict("package a\n// Code generated by x. DO NOT EDIT.\nvar b = 1\n", a) == "generated"
+    assert generated.verdict("/*\n * words\n * @generated\n */\nint x;\n", a) == "generated" and generated.verdict(code + "\n# copied verbatim from the\n\n", a) == "vendored"
+    assert generated.verdict(code + "\n# the next is @generated\n" + code, a) is None
     assert generated.verdict("", a) is None and generated.verdict("x" * 200_000, a) in (None, "minified", "data")
     assert generated.verdict("İ" * 600 + "\n# @generated by x", a) == "generated"
 
@@ -35,9 +39,11 @@ def test_paths(path, hit):
 def test_generated_operator(spark):
     texts = spark.createDataFrame([(1, "go", "package a", 5), (1, "go", "package a", 5), (2, "go", "package b", 5), (3, None, "// @generated", 5), (4, "yaml", "# @generated by x", 5), (5, "c", "// @generated by x", 5), (6, "c", None, 5), (7, "c", "int x;", 5)], "blob_id long, language string, content string, path int")
     revs = spark.createDataFrame([("vendor/a.go", 1), ("src/a.go", 1), ("src/b.go", 2), (None, 2), ("vendor/n", 3), ("vendor/x.c", 6), ("vendor/gone.c", 99)], "path string, blob_id long")
-    got = {(r.blob_id, r.reason) for r in generated.not_hand_written(texts, revs).collect()}
+    blobs = texts.select(F.col("blob_id").alias("id"), "language")
+    texts = texts.drop("language")
+    got = {(r.blob_id, r.reason) for r in generated.not_hand_written(texts, blobs, revs).collect()}
     assert got == {(1, "path"), (5, "generated"), (6, "path")}
-    assert generated.not_hand_written(texts.limit(0), revs).count() == 0
+    assert generated.not_hand_written(texts.limit(0), blobs, revs).count() == 0
 
 
 # --- credentials
