@@ -225,6 +225,18 @@ def test_leaks_against_brute_force(spark):
 
     want = {(d, i) for d, t in docs if d is not None and t for i, q in items if grams(t) & grams(q)}
     assert {(x.doc_id, x.item_id) for x in leaks.leaked(di, it).collect()} == want and want
+
+    def near(t, q):
+        """A window of twelve words, one of them replaced at most."""
+        a, b = leaks.words_of(t), leaks.words_of(q)
+        return any(sum(x == y for x, y in zip(a[k : k + 12], b[j : j + 12])) >= 11 for k in range(len(a) - 11) for j in range(len(b) - 11))
+
+    tolerant = {(x.doc_id, x.item_id): x for x in leaks.overlaps(di, it).collect()}
+    close = {(d, i) for d, t in docs if d is not None and t for i, q in items if near(t, q)}
+    assert close > want and close <= {k for k, x in tolerant.items() if x.overlap_words >= 11}
+    by_id = dict(docs)
+    for (d, i), x in tolerant.items():
+        assert x.exact_words == leaks.longest_run(leaks.words_of(dict(items)[i]), leaks.words_of(by_id[d])) or x.exact_words < 12
     assert leaks.leaked(di.limit(0), it).count() == 0 and leaks.leaked(di, it.limit(0)).count() == 0
 
 
