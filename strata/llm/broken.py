@@ -60,8 +60,8 @@ def _parse(batches: Iterator[pa.RecordBatch], report: bool) -> Iterator[pa.Recor
 def broken_files(texts: DataFrame, report: bool = True) -> DataFrame:
     """(blob_id, language, error_token, error_line) for each text of (blob_id, language, content) that isn't valid in its language.
 
-    error_token counts tokens from 0 up to the first at which no parse can go on; error_line is its line, null unless
-    report. Null texts and languages without a grammar are left out; an empty text is valid in all languages but json
+    error_token counts tokens from 0 up to the first at which no parse can go on; error_line is that token's line, the
+    last one if the text ends too early, null unless report. Null texts and languages without a grammar are left out; an empty text is valid in all languages but json
     and go, whose grammars demand more. Copies of a row give one row.
     """
     known = texts.where(F.col("language").isin(list(syntax.CLASSES)) & F.col("content").isNotNull()).select("blob_id", "language", "content")

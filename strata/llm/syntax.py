@@ -23,6 +23,28 @@ def _either(words) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 
 
+class Track(list):
+    """Terminals with the place in the text of each, for reports: append notes where the token now read begins."""
+
+    def __init__(self):
+        super().__init__()
+        self.at, self.where, self.skipped = 0, [], 0
+        self.text = ""
+
+    def append(self, i: int) -> None:
+        self.where.append(self.at)
+        super().append(i)
+
+    def __iadd__(self, items):
+        for i in items:
+            self.append(i)
+        return self
+
+    def pop(self) -> int:
+        self.where.pop()
+        return super().pop()
+
+
 class Language:
     """Lexer and tables of one language. classes: spellings that stand for a class of the grammar."""
 
@@ -70,9 +92,29 @@ class Language:
             out.append(i)
         return out
 
-    def lex(self, text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    def tokens(self, text: str, pos: int, track: Track | None):
+        """The tokens from pos on; a track is told where each begins before it is handed out."""
+        if track is None:
+            return self.pattern.findall(text, pos)
+        track.text = text
+
+        def each():
+            for m in self.pattern.finditer(text, pos):
+                track.at = m.start(1)
+                yield m.group(1)
+
+        return each()
+
+    def lex(self, text: str, track: Track | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Terminals with the end (1) last, and where an ASI terminal may stand."""
-        toks = self.pattern.findall(text)
+        toks = self.tokens(text, 0, track)
+        if track is not None:
+            for s in toks:
+                if s:
+                    track += self.ids([s])
+            return np.array([*track, 1], np.int32), None
+        if self.pattern.groups > 1:
+            toks = [t[0] for t in toks]
         while toks and not toks[-1]:
             toks.pop()
         return np.array([*self.ids(toks), 1], np.int32), None
@@ -84,10 +126,7 @@ class Language:
         failed, met = self.tables.parse_many([s for s, _ in lexed], soft)
         for i in np.flatnonzero((failed >= 0) & met):
             failed[i] = self.tables.parse_general(*lexed[i])
-        return [self.confirm(t, int(f)) if f >= 0 else -1 for t, f in zip(texts, failed)]
-
-    def confirm(self, text: str, at: int) -> int:
-        return at
+        return [int(f) for f in failed]
 
 
 class Json(Language):
@@ -112,19 +151,22 @@ class Python(Language):
     )
     number = r"(?:0[xX](?:_?[0-9a-fA-F])++|0[bB](?:_?[01])++|0[oO](?:_?[0-7])++|(?:(?:[1-9](?:_?\d)*+|0(?:_?0)*+)(?![\d.eEjJ])|(?:\d(?:_?\d)*+\.?(?:\d(?:_?\d)*+)?|\.\d(?:_?\d)*+)(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?))(?!\w)"
 
-    def lex(self, text: str) -> tuple[np.ndarray, None]:
+    def lex(self, text: str, track: Track | None = None) -> tuple[np.ndarray, None]:
         t = self.tables.term
         nl, ind, out_ = t["NL"], t["IN"], t["OUT"]
         memo, kind = self.memo, self.kind
         if len(memo) > MEMO:
             memo = self.memo = dict(self.known)
-        out: list[int] = []
+        out: list[int] = [] if track is None else track
         depth, levels, line = 0, [0], False
         first = re.match(r"(?:[ \t\f]*(?:#[^\r\n]*)?(?:\r\n|\r|\n))*([ \t\f]*)", text)
-        toks = self.pattern.findall(text, first.start(1))
-        pending = first.group(1) if first.group(1) and toks and toks[0] and toks[0][0] not in "#\r\n" else None
+        begin = self.pattern.match(text, first.start(1)).group(1)
+        toks = self.tokens(text, first.start(1), track)
+        pending = first.group(1) if first.group(1) and begin and begin[0] not in "#\r\n" else None
         if pending:
             levels.append(len(pending.expandtabs(8)))
+            if track is not None:
+                track.at = first.start(1)
             out.append(ind)
         for s in toks:
             if not s:
@@ -134,6 +176,8 @@ class Python(Language):
                 if depth or not line or (c == "#" and "\n" not in s and "\r" not in s):
                     continue
                 out.append(nl)
+                if track is not None:
+                    track.at += len(s)
                 line = False
                 rest = re.split(r"[\r\n]", s)[-1]
                 if "#" in rest:
@@ -176,21 +220,6 @@ class Python(Language):
             return self.tables.term["NUM"]
         return self.tables.term["NAME"] if s.isidentifier() else 0
 
-    def confirm(self, text: str, at: int) -> int:
-        """Exact check of what the grammar rejects, where Python's own parser is of the same language."""
-        import ast
-        import warnings
-
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            try:
-                compile(text, "text", "exec", flags=ast.PyCF_ONLY_AST, dont_inherit=True)
-            except (SyntaxError, ValueError):
-                return at
-            except (RecursionError, MemoryError):
-                return at
-        return -1
-
 
 class Script(Language):
     """JavaScript modules: regex literals, templates and automatic semicolons need the token before."""
@@ -227,13 +256,13 @@ class Script(Language):
             return t["NUM"]
         return t["NAME"] if c.isalpha() or c in "_$\\" and len(s) > 0 and (c != "\\" or len(s) > 1) else 0
 
-    def lex(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def lex(self, text: str, track: Track | None = None) -> tuple[np.ndarray, np.ndarray]:
         t = self.tables.term
         memo, kind, operand, words, asi = self.memo, self.kind, self.operand, self.words, t["ASI"]
         if len(memo) > MEMO:
             memo = self.memo = dict(self.known)
         inc, close, thead, tmid, ttail, regex_id = t["INC"], t["}"], t["THEAD"], t["TMID"], t["TTAIL"], t["REGEX"]
-        out: list[int] = []
+        out: list[int] = [] if track is None else track
         soft: list[bool] = []
         put, mark, special = out.append, soft.append, self.special
         pos, prev, open_, depth = 0, -1, [], 0
@@ -248,6 +277,8 @@ class Script(Language):
                     going = False
                     break
                 start, end = m.span(1)
+                if track is not None:
+                    track.at, track.text = start, text
                 fresh = start > pos and text.find("\n", pos, start) >= 0
                 pos = end
                 i = memo.get(s)
@@ -292,9 +323,8 @@ class Script(Language):
                     break
             else:
                 going = False
-        out.append(1)
         soft.append(True)
-        return np.array(out, np.int32), np.array(soft, bool)
+        return np.array([*out, 1], np.int32), np.array(soft, bool)
 
 
 class TypeScript(Script):
@@ -318,12 +348,12 @@ class Go(Language):
         t = self.tables.term
         self.enders = {t[w] for w in ("NAME", "NUM", "STR", "CHAR", "INC", "break", "continue", "fallthrough", "return", ")", "]", "}")}
 
-    def lex(self, text: str) -> tuple[np.ndarray, None]:
+    def lex(self, text: str, track: Track | None = None) -> tuple[np.ndarray, None]:
         memo, kind, enders, semi = self.memo, self.kind, self.enders, self.tables.term[";"]
         if len(memo) > MEMO:
             memo = self.memo = dict(self.known)
-        out, prev = [], 0
-        for s in self.pattern.findall(text):
+        out, prev = [] if track is None else track, 0
+        for s in self.tokens(text, 0, track):
             if s == "\n" or s[:2] == "/*" and len(s) > 3 and "\n" in s:
                 if prev in enders:
                     out.append(semi)
@@ -371,8 +401,12 @@ class CLang(Language):
             return t["NUM"] if ok else 0
         return super().kind(s)
 
-    def lex(self, text: str) -> tuple[np.ndarray, None]:
-        return super().lex(re.sub(r"(?<=\n)[ \t]+(?=#)", "", text.lstrip()) if "#" in text else text)
+    def lex(self, text: str, track: Track | None = None) -> tuple[np.ndarray, None]:
+        if "#" in text:
+            if track is not None:
+                track.skipped = text.count("\n", 0, len(text) - len(text.lstrip()))
+            text = re.sub(r"(?<=\n)[ \t]+(?=#)", "", text.lstrip())
+        return super().lex(text, track)
 
 
 class Rust(Language):
@@ -391,13 +425,10 @@ class Rust(Language):
             return t["NAME"]
         return super().kind(s)
 
-    def lex(self, text: str) -> tuple[np.ndarray, None]:
+    def lex(self, text: str, track: Track | None = None) -> tuple[np.ndarray, None]:
         if text.startswith("#!") and not text.startswith("#!["):
-            text = text[text.find("\n") :]
-        toks = [m.group(1) for m in self.pattern.finditer(text)]
-        while toks and not toks[-1]:
-            toks.pop()
-        return np.array([*self.ids(toks), 1], np.int32), None
+            text = text[text.find("\n") :] if "\n" in text else ""
+        return super().lex(text, track)
 
 
 CLASSES = {"json": Json, "python": Python, "javascript": Script, "typescript": TypeScript, "go": Go, "java": Java, "c": CLang, "rust": Rust}
@@ -415,9 +446,9 @@ def check_many(name: str, texts: list[str]) -> list[int]:
 
 
 def line_of(name: str, text: str, at: int) -> int:
-    """Line (from 1) of token number at, for reports: counted over the raw tokens, so layout tokens may shift it."""
-    lang = language(name)
-    for n, m in enumerate(lang.pattern.finditer(text)):
-        if n == at:
-            return text.count("\n", 0, m.start(1)) + 1
-    return text.count("\n") + 1
+    """Line (from 1) on which token number at begins, layout and inserted tokens counted as check_many counts them; the last line for the end of the text."""
+    track = Track()
+    language(name).lex(text.removeprefix("\ufeff"), track)
+    end = len(track.text.rstrip())
+    place = min(track.where[at], end) if at < len(track.where) else end
+    return track.skipped + track.text.count("\n", 0, place) + 1

@@ -119,3 +119,17 @@ def test_error_line():
     text = "def f():\n    return 1\n\nx = = 2\n"
     at = syntax.check_many("python", [text])[0]
     assert at >= 0 and syntax.line_of("json", '{\n"a": 1,\n}', syntax.check_many("json", ['{\n"a": 1,\n}'])[0]) == 3
+
+
+@pytest.mark.parametrize(
+    "lang, text, line",
+    [
+        ("python", "x = 1\n\n# c\ndef f():\n    y = [1,\n         2]\n    z = = 3\n", 7), ("python", "\n\n  x = 1\n", 3), ("python", "if a:\n    b\n      c\n", 3), ("python", "s = \"\"\"a\nb\n\"\"\"\nx = )\n", 4), ("python", "f(1,\n", 1),
+        ("go", "package a\n\nfunc f() {\n\tx := 1\n\ty := := 2\n}\n", 5), ("go", "package a\n/* a\nb */\nfunc f( {\n}\n", 4), ("javascript", "let a = 1\nlet b = `x\n${a}\n`\nlet c = = 2\n", 5), ("javascript", "let a = /x\\/y/g\n\nlet = = 2\n", 3),
+        ("json", '{\n "a": 1,\n "b" 2\n}', 3), ("java", "\n\nclass A {\n  int x = ;\n}\n", 4), ("c", "\n\n#include <a.h>\n  #define B 1\nint f( { }\n", 5), ("rust", "#!/bin/x\nfn f() {\n  let = 1;\n}\n", 3), ("typescript", "type A = {\n  b: string\n  c: = 1\n}\n", 3),
+    ],
+)
+def test_error_lines(lang, text, line):
+    (at,) = syntax.check_many(lang, [text])
+    assert at >= 0 and syntax.line_of(lang, text, at) == line
+    assert syntax.line_of(lang, "\ufeff" + text, at) == line
