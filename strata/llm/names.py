@@ -1,13 +1,18 @@
 """Operator: variant spellings of names typed by people.
 
-Merge-and-rematch resolution. Each spelling is read as a form - a full name, a surname with an initial, a nickname with a
-surname, a login handle, or an organisation - with a canonical key. Equal keys are one node; nodes within one typing error
-of each other are merged. A merged entity carries the union of its members' names and initials, and with this richer
-profile re-enters blocking: a form that leaves several people possible (an initial, a nickname of several names, a
-handle) joins an entity when exactly one fits. Rounds go on until nothing merges any more.
+Merge-and-rematch resolution. Each spelling is read as a form - a full name, a surname with an initial, a nickname or a
+shortened name with a surname, a login handle, or an organisation - with a canonical key; equal keys, and keys that differ
+in how umlauts are written, are one entity. A merged entity carries the union of its members' names and initials, and with
+this richer profile re-enters blocking in the next round: names within one typing error of each other in one part, or in
+both if they are long, are merged, and a form that leaves several people possible (an initial, a nickname of several names,
+a shortened name, a handle) joins an entity when exactly one fits. Rounds go on until nothing merges any more; from the second
+round on only names that the merges have brought are compared anew.
+
+Typing errors don't make chains: a name joins the most used of the names within one error, and only if all names within one
+error of it are within one error of that one too, so that Martin, Marton, Barton and Burton stay four people.
 
 Blocks are small by construction: a block key holds one exact part of a name and one part with at most one letter left
-out, never a first name or a surname alone.
+out, or both parts so, never a first name or a surname alone.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.hierarchy import connected_components
 from strata.runtime import cut
 
 #: Short forms of given names (fixed values): formal name, then its short forms.
@@ -44,6 +48,7 @@ _FORMALS: dict[str, tuple[str, ...]] = {}
 for _line in SHORT_FORMS.replace("\n", " / ").split(" / "):
     for _short in _line.split()[1:]:
         _FORMALS[_short] = (*_FORMALS.get(_short, ()), _line.split()[0])
+_GIVEN = frozenset([*_FORMALS, *(f for fs in _FORMALS.values() for f in fs)])
 _KINDS = {w: part.split()[0] for part in ORG_WORDS.split(" / ") for w in part.split()[1:]}
 _PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "þ": "th", "ð": "d"})
 
@@ -77,7 +82,7 @@ def _near(a: str, b: str) -> bool:
 
 def read_form(spelling: str) -> tuple[str, str, str] | None:
     """(kind, x, y): full (two words, in order of the alphabet), init (initial, word), nick (short form of several names, word),
-    handle (letters, ''), org (name, kind); None for blanks."""
+    short (first letters before a full stop, word), handle (letters, ''), org (name, kind); None for blanks."""
     text = re.sub(r"\([^)]*\)|<[^>]*>", " ", plain(spelling))
     text = re.sub(r"(?i)\bg\.\s*m\.\s*b\.\s*h\b\.?", "gmbh", text).replace("[bot]", " bot ")
     words = [w for w in re.split(r"[\s,_.;:/+]+", text) if w.strip("-'")]
@@ -104,6 +109,9 @@ def read_form(spelling: str) -> tuple[str, str, str] | None:
     if len(full) == 1:
         return ("init", initials[0], full[0]) if initials else ("handle", full[0].replace("-", ""), "")
     x, y = full[0], full[-1]
+    for a, b in ((x, y), (y, x)):
+        if len(a) > 1 and a not in _FORMALS and a not in TITLES and re.search(rf"(?i)(?<![^\W_]){re.escape(a)}\.(?=[\s,]|$)", text):
+            return ("short", a, b)
     for a, b in ((x, y), (y, x)):
         formals = _FORMALS.get(a, ())
         if len(formals) > 1:
@@ -114,8 +122,8 @@ def read_form(spelling: str) -> tuple[str, str, str] | None:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(s, *f, raw_initials(s)) for s in b.column("spelling").to_pylist() if (f := read_form(s))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=["spelling", "kind", "x", "y", "initials"])
+        rows = [(s, n, *f, raw_initials(s), "".join("xy"[i] for i in (0, 1) if f[i + 1] in _GIVEN)) for s, n in zip(b.column("spelling").to_pylist(), b.column("n").to_pylist()) if (f := read_form(s))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(7)], names=["spelling", "n", "kind", "x", "y", "initials", "given"])
 
 
 def raw_initials(spelling: str) -> str:
@@ -141,57 +149,95 @@ def _one_error(a: Column, b: Column) -> Column:
     return (d <= 1) | ((d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))))
 
 
-def _typos(nodes: DataFrame) -> DataFrame:
-    """(child, parent) between full or org nodes that share one part exactly and have the other within one error, or that are
-    equal but for umlauts. Two known given names are never errors of each other."""
-    full = nodes.where("kind = 'full'")
-    org = nodes.where("kind = 'org'")
-    sides = full.select("node", F.concat_ws("|", F.lit("f"), "x").alias("fixed"), F.col("y").alias("free"))
-    sides = sides.union(full.select("node", F.concat_ws("|", F.lit("f"), "y"), F.col("x"))).union(org.select("node", F.concat_ws("|", F.lit("o"), "y"), F.col("x")))
-    blocks = sides.select("node", "fixed", "free", F.explode(_variants("free")).alias("v"))
-    other = blocks.select(F.col("node").alias("n2"), F.col("fixed"), F.col("free").alias("f2"), "v")
-    close = blocks.join(other, ["fixed", "v"]).where("node < n2").where(_one_error(F.col("free"), F.col("f2")))
-    known = sorted({*_FORMALS, *(f for fs in _FORMALS.values() for f in fs)})
-    close = close.where(~(F.col("free").isin(known) & F.col("f2").isin(known)))
-    umlaut = nodes.where("kind IN ('full', 'org', 'init')").withColumn("s", F.concat_ws("|", "kind", F.array_join(F.array_sort(F.array(_smooth("x"), _smooth("y"))), "|")))
-    first = umlaut.groupBy("s").agg(F.min("node").alias("parent"))
-    same = umlaut.join(first, "s").where("node <> parent").select(F.col("node").alias("child"), "parent")
-    return close.select(F.col("node").alias("child"), F.col("n2").alias("parent")).union(same).distinct()
+#: Letters of each part from which a name may have an error in both.
+BOTH = 6
+#: How many times as often a name must be used as a misspelling of it that has other neighbours too.
+OFTEN = 3
+
+
+def _near_names(names: DataFrame, new: DataFrame | None) -> DataFrame:
+    """(a, b): entities, both ways round, of which two names (entity, kind, x, y, given) are within one error in one part, or in each of two
+    long ones. Two known given names are never errors of each other. Pairs without a name of new are left out, if it is given."""
+    full, org = names.where("kind = 'full'"), names.where("kind = 'org'")
+    gx, gy = F.contains("given", F.lit("x")), F.contains("given", F.lit("y"))
+    part = lambda df, tag, fixed, free, g: df.select("entity", F.concat_ws("|", F.lit(tag), fixed).alias("key"), F.explode(_variants(free)).alias("v"), F.col(free).alias("free"), g.alias("g"), F.lit("").alias("free2"), F.lit(False).alias("h"))
+    one = part(full, "f", "x", "y", gy).union(part(full, "f", "y", "x", gx)).union(part(org, "o", "y", "x", F.lit(False)))
+    long = full.where((F.length("x") >= BOTH) & (F.length("y") >= BOTH)).select("entity", "x", "y", gx.alias("g"), gy.alias("h"), F.explode(_variants("x")).alias("key"))
+    long = long.select("entity", F.concat_ws("|", F.lit("b"), "key").alias("key"), F.explode(_variants("y")).alias("v"), F.col("x").alias("free"), "g", F.col("y").alias("free2"), "h")
+    blocks = one.union(long)
+    asked = blocks if new is None else blocks.join(new, "entity", "left_semi")
+    other = blocks.select(F.col("entity").alias("e2"), "key", "v", F.col("free").alias("f2"), F.col("g").alias("fg"), F.col("free2").alias("g2"), F.col("h").alias("gh"))
+    close = asked.join(other, ["key", "v"]).where("entity <> e2").where(_one_error(F.col("free"), F.col("f2")) & _one_error(F.col("free2"), F.col("g2")))
+    close = close.where("NOT (free <> f2 AND g AND fg) AND NOT (free2 <> g2 AND h AND gh)")
+    close = close.select(F.col("entity").alias("a"), F.col("e2").alias("b"))
+    return close.distinct() if new is None else close.union(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _stars(near: DataFrame, used: DataFrame) -> DataFrame:
+    """(own, target): entities that join the most used of those near them.
+
+    near has (a, b) both ways round; used (entity, n). An entity joins its target if the target is itself the most used of its own
+    neighbours, and all neighbours of the entity are the target's too. Where another neighbour of the target fails in
+    this, the target must be used OFTEN times as often.
+    """
+    n = used.select(F.col("entity").alias("b"), "n")
+    top = near.join(n, "b").groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("top")).join(used.select(F.col("entity").alias("a"), "n"), "a")
+    top = top.select("a", "n", F.col("top.n").alias("tn"), (-F.col("top.m")).alias("t")).withColumn("below", (F.col("n") < F.col("tn")) | ((F.col("n") == F.col("tn")) & (F.col("a") > F.col("t"))))
+    top = cut(top)
+    heads = top.where("NOT below").select(F.col("a").alias("t"))
+    open_ = top.where("below").join(heads, "t", "left_semi")
+    # neighbours of an entity that its target lacks
+    far = near.join(open_.select("a", "t"), "a").where("b <> t").join(near.select(F.col("a").alias("t"), "b"), ["t", "b"], "left_anti").select("a").distinct()
+    fits = open_.join(far, "a", "left_anti")
+    loose = near.join(heads, near.a == heads.t, "left_semi").select(F.col("a").alias("t"), F.col("b").alias("a")).join(fits.select("a", "t"), ["a", "t"], "left_anti").select("t").distinct().withColumn("loose", F.lit(1))
+    return fits.join(loose, "t", "left").where(F.col("loose").isNull() | (F.col("tn") >= OFTEN * F.col("n"))).select(F.col("a").alias("own"), F.col("t").alias("target"))
+
+
+def _full_names(mine: DataFrame) -> DataFrame:
+    """(entity, kind, x, y, given): the names of each entity and which parts are known given names: those of its full and org members, and of its nicknames with each formal name that a
+    full member has."""
+    whole = mine.where("kind IN ('full', 'org')").select("entity", "kind", "x", "y", "given")
+    nicks = mine.where("kind = 'nick'").select("entity", F.explode(F.split(F.element_at(_formals(), F.col("x")), r"\|")).alias("g"), F.col("y").alias("w"))
+    given = whole.where("kind = 'full'").select("entity", F.explode(F.array("x", "y")).alias("g")).distinct()
+    more = nicks.join(given, ["entity", "g"]).select("entity", F.lit("full").alias("kind"), F.least("g", "w").alias("x"), F.greatest("g", "w").alias("y"), F.when(F.col("g") < F.col("w"), "x").otherwise("y").alias("given"))
+    return whole.union(more).groupBy("entity", "kind", "x", "y").agg(F.max("given").alias("given"))
+
+
+def _formals() -> Column:
+    """Map of the short forms of several names to these, with bars between."""
+    return F.create_map(*[F.lit(x) for s, fs in sorted(_FORMALS.items()) if len(fs) > 1 for x in (s, "|".join(fs))])
 
 
 def _profiles(mine: DataFrame) -> DataFrame:
     """(entity, named, how, part, w): what an entity can be called, by the union of its members' names and initials.
 
-    how i: an initial and a word; n: a given name and a word, both ways round; h: the letters of a login handle.
+    how i: an initial and a word; n: a given name and a word, both ways round; s: the first two letters of a given name and a word, with the name in
+    part's place told by full; h: the letters of a login handle.
     """
     full = F.col("kind") == "full"
-    sides = mine.where("kind <> 'org' AND kind <> 'handle'").select("entity", "named", "kind", "initials", F.explode(F.when(full, F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("w")), F.struct(F.col("y").alias("g"), F.col("x").alias("w")))).otherwise(F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("w"))))).alias("s"))
-    sides = sides.select("entity", "named", "kind", "initials", "s.g", "s.w")
-    letters = F.when(full, F.array_distinct(F.concat(F.array(F.substring("g", 1, 1)), F.filter(F.split("initials", ""), lambda i: (i != "") & (i != F.substring("w", 1, 1)))))).otherwise(F.array(F.substring("g", 1, 1)))
+    both = F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("w")), F.struct(F.col("y").alias("g"), F.col("x").alias("w")))
+    sides = mine.where("kind NOT IN ('org', 'handle')").select("entity", "named", "kind", "union", F.explode(F.when(full, both).otherwise(F.slice(both, 1, 1))).alias("s"))
+    sides = sides.select("entity", "named", "kind", "union", "s.g", "s.w")
+    letters = F.when(full, F.array_distinct(F.concat(F.array(F.substring("g", 1, 1)), F.filter("union", lambda i: (i != "") & (i != F.substring("w", 1, 1)))))).otherwise(F.array(F.substring("g", 1, 1)))
     bare = F.regexp_replace("w", "-", "")
-    called = lambda how, part, w: F.struct(F.lit(how).alias("how"), part.alias("part"), w.alias("w"))
+    called = lambda how, part, w, name="": F.struct(F.lit(how).alias("how"), part.alias("part"), w.alias("w"), (F.col(name) if name else F.lit("")).alias("name"))
     short = F.flatten(F.transform(letters, lambda i: F.array(called("i", i, F.col("w")), called("h", F.lit(""), F.concat(i, bare)), called("h", F.lit(""), F.concat(bare, i)))))
-    long = F.when(full, F.array(called("n", F.col("g"), F.col("w")), called("h", F.lit(""), F.concat("g", bare)))).otherwise(F.array().cast("array<struct<how:string,part:string,w:string>>"))
-    return sides.select("entity", "named", F.explode(F.concat(short, long)).alias("c")).select("entity", "named", "c.how", "c.part", "c.w").where("named = 1 OR how = 'h'").distinct()
+    long = F.when(full, F.array(called("n", F.col("g"), F.col("w")), called("s", F.substring("g", 1, 2), F.col("w"), "g"), called("h", F.lit(""), F.concat("g", bare)))).otherwise(F.array().cast("array<struct<how:string,part:string,w:string,name:string>>"))
+    return sides.select("entity", "named", F.explode(F.concat(short, long)).alias("c")).select("entity", "named", "c.how", "c.part", "c.w", "c.name").where("named = 1 OR how = 'h'").distinct()
 
 
-def _rematch(nodes: DataFrame, entity: DataFrame) -> DataFrame:
+def _rematch(mine: DataFrame) -> DataFrame:
     """(own, target): the entities that leave several people possible, each with the only entity whose profile fits it.
 
     Forms and profiles are blocked together by one key, of the way they match, the exact part and a variant of the other;
     exact fits go before fits within one error.
     """
-    mine = nodes.join(entity, "node")
-    named = mine.groupBy("entity").agg(F.max(F.col("kind").isin("full", "org").cast("int")).alias("named"))
-    mine = cut(mine.join(named, "entity"))
-    pairs = [(s, f) for s, fs in _FORMALS.items() if len(fs) > 1 for f in fs]
-    formals = F.create_map(*[F.lit(x) for s in sorted({s for s, _ in pairs}) for x in (s, "|".join(f for t, f in pairs if t == s))])
-    how = F.when(F.col("kind") == "init", "i").when(F.col("kind") == "nick", "n").otherwise("h")
-    part = F.when(F.col("kind") == "init", F.array("x")).when(F.col("kind") == "nick", F.split(F.element_at(formals, F.col("x")), r"\|")).otherwise(F.array(F.lit("")))
-    open_ = mine.where("named = 0").select("node", F.col("entity").alias("own"), how.alias("how"), F.explode(part).alias("part"), F.when(F.col("kind") == "handle", F.col("x")).otherwise(F.col("y")).alias("w0"))
-    asked = open_.select("node", "own", "how", "part", "w0", F.explode(_variants("w0")).alias("v"))
-    offered = _profiles(mine).select("entity", "how", "part", F.col("w").alias("w1"), F.explode(_variants("w")).alias("v"))
-    fits = asked.join(offered, ["how", "part", "v"]).where("own <> entity").where(_one_error(F.col("w0"), F.col("w1")))
+    how = F.when(F.col("kind") == "init", "i").when(F.col("kind") == "nick", "n").when(F.col("kind") == "short", "s").otherwise("h")
+    part = F.when(F.col("kind") == "init", F.array("x")).when(F.col("kind") == "nick", F.split(F.element_at(_formals(), F.col("x")), r"\|")).when(F.col("kind") == "short", F.array(F.substring("x", 1, 2))).otherwise(F.array(F.lit("")))
+    open_ = mine.where("named = 0").select("node", F.col("entity").alias("own"), how.alias("how"), F.explode(part).alias("part"), F.when(F.col("kind") == "handle", F.col("x")).otherwise(F.col("y")).alias("w0"), F.when(F.col("kind") == "short", F.col("x")).otherwise("").alias("first"))
+    asked = open_.select("node", "own", "how", "part", "w0", "first", F.explode(_variants("w0")).alias("v"))
+    offered = _profiles(mine).select("entity", "how", "part", F.col("w").alias("w1"), "name", F.explode(_variants("w")).alias("v"))
+    fits = asked.join(offered, ["how", "part", "v"]).where("own <> entity AND startswith(name, first)").where(_one_error(F.col("w0"), F.col("w1")))
     fits = fits.select("own", "entity", (_smooth("w0") != _smooth("w1")).cast("int").alias("near")).distinct()
     best = fits.groupBy("own").agg(F.min(F.struct("near", "entity")).alias("a"), F.max(F.struct(-F.col("near"), "entity")).alias("b"))
     return best.where("a.entity = b.entity").select("own", F.col("a.entity").alias("target"))
@@ -203,19 +249,36 @@ def resolve(df: DataFrame, column: str) -> DataFrame:
     Null, empty and blank names belong to no entity and are left out. Spellings are compared exactly as stored; two spellings
     of one entity have one id. Everything runs on distinct spellings and then on distinct canonical keys.
     """
-    spellings = df.select(F.col(column).cast("string").alias("spelling")).where("spelling IS NOT NULL AND trim(spelling) <> ''").distinct()
-    forms = cut(spellings.mapInArrow(_forms, "spelling string, kind string, x string, y string, initials string").withColumn("node", F.xxhash64("kind", "x", "y")))
-    nodes = cut(forms.groupBy("node", "kind", "x", "y").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("initials", ""))))), "").alias("initials")))
-    linked = connected_components(cut(_typos(nodes))).select("node", F.col("component").alias("entity"))
-    entity = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("entity", "node").alias("entity")))
+    spellings = df.select(F.col(column).cast("string").alias("spelling")).where("spelling IS NOT NULL AND trim(spelling) <> ''").groupBy("spelling").agg(F.count(F.lit(1)).alias("n"))
+    forms = spellings.mapInArrow(_forms, "spelling string, n long, kind string, x string, y string, initials string, given string").withColumn("node", F.xxhash64("kind", "x", "y"))
+    # umlauts with and without an e are one name
+    alike = F.when(F.col("kind").isin("full", "org", "init"), F.xxhash64("kind", F.array_sort(F.array(_smooth("x"), _smooth("y"))))).otherwise(F.col("node"))
+    forms = cut(forms.withColumn("entity", alike))
+    nodes = cut(forms.groupBy("entity", "node", "kind", "x", "y", "given").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set(F.split("initials", "")))).alias("initials")))
+    entity, before = nodes.select("node", "entity"), None
     while True:
-        moves = cut(_rematch(nodes, entity))
+        mine = nodes.drop("entity").join(entity, "node")
+        known = mine.groupBy("entity").agg(F.max(F.col("kind").isin("full", "org").cast("int")).alias("named"), F.array_distinct(F.flatten(F.collect_set("initials"))).alias("union"), F.sum("n").alias("used"))
+        mine = cut(mine.join(known, "entity"))
+        names = cut(_full_names(mine))
+        moves = _rematch(mine)
+        new = None
+        if before is not None:
+            # names that the last merges have brought to their entities
+            new = cut(names.join(before, ["entity", "kind", "x", "y"], "left_anti").select("entity").distinct())
+        if new is None or new.limit(1).count():
+            near = cut(_near_names(names, new))
+            moves = moves.union(_stars(near, mine.select("entity", F.col("used").alias("n")).distinct()))
+        moves = cut(moves)
         # where two would join each other, only the greater id moves
         back = moves.select(F.col("own").alias("target"), F.col("target").alias("own"))
         moves = cut(moves.join(back, ["own", "target"], "left_anti").union(moves.join(back, ["own", "target"], "left_semi").where("own > target")))
         if not moves.limit(1).count():
-            return forms.join(entity, "node").select("spelling", "entity")
-        entity = cut(entity.join(moves.withColumnRenamed("own", "entity"), "entity", "left").select("node", F.coalesce("target", "entity").alias("entity")))
+            return forms.select("spelling", "node").join(entity, "node").select("spelling", "entity")
+        step = moves.withColumnRenamed("own", "entity")
+        moved = names.join(step, "entity", "left").select(F.coalesce("target", "entity").alias("entity"), "kind", "x", "y")
+        before = cut(moved.distinct())
+        entity = cut(entity.join(step, "entity", "left").select("node", F.coalesce("target", "entity").alias("entity")))
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(names.resolve(table(spark, d, "commits"), "author"))
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with the least spelling of its entity."""
+    known = names.resolve(table(spark, d, "commits"), "author")
+    return known.join(known.groupBy("entity").agg(F.min("spelling").alias("name")), "entity").select("spelling", "name")
+
+
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     """Spellings, their commits and the most used spelling of each entity."""
     commits = table(spark, d, "commits")
@@ -100,5 +106,5 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_rates, p4_found, p4_entities, p6_found, p6_reasons, p7_found, p7_places, p7_redacted, p8_ids, p8_decoded, p8_counts, p9_found, p9_overlaps, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_rates, p4_found, p4_members, p4_entities, p6_found, p6_reasons, p7_found, p7_places, p7_redacted, p8_ids, p8_decoded, p8_counts, p9_found, p9_overlaps, p10_found, p10_reasons)}
 SQL = {"p8_decoded": P8_DECODED_SQL, "p9_found": P9_FOUND_SQL}

@@ -41,6 +41,30 @@ def test_several_people_possible(spark):
     assert got["J. Alone"] == got["Alone, J."] == got["jalone"]
 
 
+def entities(spark, names):
+    return {r.spelling: r.entity for r in N.resolve(spark.createDataFrame([(n,) for n in names], "author string"), "author").collect()}
+
+
+def test_errors_make_no_chains(spark):
+    got = entities(spark, ["Anna Martin", "Anna Marton", "Anna Barton", "Anna Burton"] + ["Ella Stuzendov"] * 9 + ["Ella Stuzendo", "Ella Stuzendof", "Michael Binokura", "Micheal Binokrua", "Anna Rossi", "Anne Rossi"])
+    assert len({got[n] for n in got if n.startswith("Anna")}) == 5 and got["Anna Rossi"] != got["Anne Rossi"]
+    assert len({got[n] for n in got if n.startswith("Ella")}) == 1 and got["Michael Binokura"] == got["Micheal Binokrua"]
+
+
+def test_shortened_names(spark):
+    got = entities(spark, ["International Business Machines", "Int. Business Machines", "Intern. Business Machines", "Rodrigo Vane", "Rod. Vane", "Vane, Rod.", "Roderick Other", "Rodney Same", "Roderick Same", "Rod. Same"])
+    assert got["International Business Machines"] == got["Int. Business Machines"] == got["Intern. Business Machines"]
+    assert got["Rodrigo Vane"] == got["Rod. Vane"] == got["Vane, Rod."] != got["Roderick Other"]
+    assert len({got[n] for n in ("Rodney Same", "Roderick Same", "Rod. Same")}) == 3
+
+
+def test_merged_profiles_match_again(spark):
+    """A nickname that has found its person lends its misspelt surname to the person, and what is near that joins in a later round."""
+    got = entities(spark, ["Alexander Probustidis", "A. Probustidis", "aprobustidis", "Alex Probustidsi", "Bob Drivovov", "Robert Drivovov", "B. Drivovov", "rdrivovov"])
+    assert len({v for k, v in got.items() if "rob" in k and "Bob" not in k and "Robert" not in k}) == 1
+    assert got["B. Drivovov"] == got["Bob Drivovov"] == got["rdrivovov"]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(None,)], "author string")
     assert N.resolve(df, "author").count() == 0
