@@ -1,17 +1,22 @@
 """Operator: encoding of a corpus with a public byte-level BPE vocabulary.
 
 Each partition runs the merges as a recursive DuckDB query over token-position rows: a step joins neighbouring tokens
-with the merge table, contracts every word's leftmost pair of least rank, and ends when no word has a pair left. Words
-are encoded once and remembered; texts are put together from their words' ids in order.
+with the merge table, contracts every word's leftmost pair of least rank, and ends when no word has a pair left. Further
+places of the same pair are contracted in the same step, from left to right, up to the first where the new token makes a pair
+of lower rank, which would come first; so a word of any length takes no more steps than it has different pairs, and the
+result is that of one pair a step. The query keeps one row for each position (its key), not one for each step.
+
+Words are encoded once and remembered; texts are put together from their words' ids in order. Decoding joins positions with
+the vocabulary and aggregates the bytes in order, in DuckDB too.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +27,29 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A vocabulary file may have this many bytes to be broadcast.
 MOST_BYTES = 16 << 20
-#: Bytes of a word above which it is merged by a heap instead: the steps of the query number as many as a word's merges.
-LONG_WORD = 48
-#: Words remembered in a worker, and words of one query.
-MEMO, CHUNK = 300_000, 20_000
+#: Words remembered in a worker, and words and bytes of one query.
+MEMO, CHUNK, CHUNK_BYTES = 300_000, 20_000, 400_000
 
 STEPS = """
-WITH RECURSIVE step(it, wid, pos, tok) AS (
-  SELECT 0, wid, pos, tok FROM letters
-  UNION ALL
-  (WITH near AS (SELECT wid, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos FROM step WINDOW w AS (PARTITION BY wid ORDER BY pos)),
-   best AS (SELECT n.wid, min({'rank': m.rank, 'pos': n.pos, 'npos': n.npos}) AS b FROM near n JOIN merges m ON m.a = n.tok AND m.b = n.nxt GROUP BY n.wid)
-   SELECT s.it + 1, s.wid, s.pos, CASE WHEN s.pos = best.b.pos THEN best.b.rank ELSE s.tok END FROM step s JOIN best ON best.wid = s.wid WHERE s.pos <> best.b.npos)
+WITH RECURSIVE step(wid, pos, tok) USING KEY (wid, pos) AS (
+  SELECT wid, pos, tok FROM letters
+  UNION
+  (WITH near AS (SELECT wid, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos, lag(tok) OVER w AS prv, lag(pos) OVER w AS ppos, lead(tok, 2) OVER w AS nxt2
+                 FROM recurring.step WHERE tok IS NOT NULL AND wid IN (SELECT wid FROM step) WINDOW w AS (PARTITION BY wid ORDER BY pos)),
+   pair AS (SELECT near.*, m.rank FROM near JOIN merges m ON m.a = tok AND m.b = nxt),
+   hit AS (SELECT pair.* FROM pair JOIN (SELECT wid, min(rank) AS least FROM pair GROUP BY wid) USING (wid) WHERE rank = least),
+   chain AS (SELECT *, sum(CASE WHEN before = pos THEN 0 ELSE 1 END) OVER w AS island FROM (SELECT *, lag(npos) OVER (PARTITION BY wid ORDER BY pos) AS before FROM hit) WINDOW w AS (PARTITION BY wid ORDER BY pos)),
+   odd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wid, island ORDER BY pos) AS k FROM chain) WHERE k % 2 = 1),
+   made AS (SELECT *, CASE WHEN lag(npos) OVER w = ppos THEN rank ELSE prv END AS l FROM odd WINDOW w AS (PARTITION BY wid ORDER BY pos)),
+   seen AS (SELECT made.wid, made.pos, npos, made.rank, (x.rank < made.rank OR y.rank < made.rank) IS TRUE AS stops FROM made LEFT JOIN merges x ON x.a = l AND x.b = made.rank LEFT JOIN merges y ON y.a = made.rank AND y.b = nxt2),
+   done AS (SELECT * FROM (SELECT *, sum(stops::INT) OVER (PARTITION BY wid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM seen) WHERE coalesce(stopped, 0) = 0)
+   SELECT wid, pos, rank FROM done UNION ALL SELECT wid, npos, NULL FROM done)
 )
-SELECT step.wid, list(tok ORDER BY pos) AS ids FROM step JOIN (SELECT wid, max(it) AS it FROM step GROUP BY wid) USING (wid, it) GROUP BY step.wid
+SELECT wid, list(tok ORDER BY pos) AS ids FROM step WHERE tok IS NOT NULL GROUP BY wid
+"""
+
+DECODED = """
+SELECT t.row, string_agg(hex(v.bytes), '' ORDER BY t.pos) AS bytes FROM ids t JOIN vocabulary v ON v.id = t.id GROUP BY t.row
 """
 
 
@@ -66,51 +80,37 @@ class Encoder:
         self.con.register("pairs", pairs)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.con.unregister("pairs")
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Encode new words into the memo."""
-        short = []
+        rest = []
         for w in words:
             raw = w.encode("utf-8", "replace")
             if (whole := self.ranks.get(raw)) is not None:
                 self.memo[w] = [whole]
-            elif len(raw) > LONG_WORD:
-                self.memo[w] = self.merge_long(raw)
             else:
-                short.append((w, raw))
-        for at in range(0, len(short), CHUNK):
-            part = short[at : at + CHUNK]
-            wid, pos, tok = [], [], []
-            for i, (_, raw) in enumerate(part):
-                wid += [i] * len(raw)
-                pos += range(len(raw))
-                tok += [self.byte[x] for x in raw]
-            self.con.register("letters", pa.table({"wid": pa.array(wid, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
-            for i, ids in self.con.execute(STEPS).fetchall():
-                self.memo[part[i][0]] = ids
-            self.con.unregister("letters")
-
-    def merge_long(self, raw: bytes) -> list[int]:
-        """The same merges by a heap over a linked list, in n log n steps."""
-        ranks, n = self.ranks, len(raw)
-        part = [raw[i : i + 1] for i in range(n)]
-        nxt, prv, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(ranks[raw[i : i + 2]], i, 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            if not live[i] or (j := nxt[i]) >= n or len(part[i]) + len(part[j]) != size:
-                continue
-            part[i] += part[j]
-            live[j] = False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            for x in (prv[i], i):
-                if x >= 0 and nxt[x] < n and (r := ranks.get(both := part[x] + part[nxt[x]])) is not None:
-                    heapq.heappush(heap, (r, x, len(both)))
-        return [ranks[p] for p, ok in zip(part, live) if ok]
+                rest.append((w, raw))
+        # words of like length take like many steps
+        rest.sort(key=lambda x: len(x[1]))
+        part: list[tuple[str, bytes]] = []
+        size = 0
+        for k, x in enumerate(rest):
+            part.append(x)
+            size += len(x[1])
+            if len(part) == CHUNK or size >= CHUNK_BYTES or k == len(rest) - 1:
+                self._merge(part)
+                part, size = [], 0
+
+    def _merge(self, part: list[tuple[str, bytes]]) -> None:
+        lens = np.array([len(raw) for _, raw in part])
+        flat = np.frombuffer(b"".join(raw for _, raw in part), np.uint8)
+        wid = np.repeat(np.arange(len(part), dtype=np.int32), lens)
+        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
+        self.con.register("letters", pa.table({"wid": wid, "pos": pos, "tok": self.byte[flat]}))
+        for i, ids in self.con.execute(STEPS).fetchall():
+            self.memo[part[i][0]] = ids
+        self.con.unregister("letters")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         words = [self.split.findall(t) if t else [] for t in texts]
@@ -152,7 +152,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABUL
     """(key, ids) for each row of docs: the ids of its text, no special tokens; their spellings are ordinary text.
 
     Null and empty texts give the empty list, blank texts are encoded as they are. Repeated rows stay. No shuffle: a map
-    over the rows where they lie, with memory bound by the word memo and one Arrow batch.
+    over the rows where they lie, with memory bound by the word memo, one Arrow batch and the longest word.
     """
     shared = share_vocabulary(docs.sparkSession, vocabulary)
 
@@ -174,13 +174,28 @@ def decode_ids(rows: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY
     shared = share_vocabulary(rows.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = {i: b for b, i in load_ranks(shared.value).items()}
+        import duckdb
+
+        ranks = load_ranks(shared.value)
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        con.register("known", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+        con.execute("CREATE TABLE vocabulary AS SELECT * FROM known")
         for b in batches:
-            texts = [None if x is None else b"".join(back[i] for i in x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                ids = part.column(1)
+                lens = np.array([len(x) if x is not None else 0 for x in ids.to_pylist()])
+                row = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+                pos = (np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
+                con.register("ids", pa.table({"row": row, "pos": pos, "id": ids.flatten()}))
+                texts = [None if x is None else "" for x in ids.to_pylist()]
+                for i, raw in con.execute(DECODED).fetchall():
+                    texts[i] = bytes.fromhex(raw).decode("utf-8", "replace")
+                con.unregister("ids")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key), F.col(ids)).mapInArrow(run, f"{key} {kind}, text string")
+    return rows.select(F.col(key), F.col(ids).cast("array<int>")).mapInArrow(run, f"{key} {kind}, text string")
 
 
 def token_counts(encoded: DataFrame) -> DataFrame:

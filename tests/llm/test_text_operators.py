@@ -195,6 +195,17 @@ def test_encoding_equals_the_libraries(spark):
     assert tokenize.encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+@needs_vocabulary
+def test_long_words_take_the_same_way():
+    import tiktoken
+
+    data = open(tokenize.VOCABULARY, "rb").read()
+    enc, ref = tokenize.Encoder(data), tiktoken.Encoding("own", pat_str=tokenize.PATTERN, mergeable_ranks=tokenize.load_ranks(data), special_tokens={})
+    r = random.Random(5)
+    words = ["a" * 10_000, "".join(r.choice("abcdefghij") for _ in range(3_000)), "ababa" * 400 + "aab" * 99, "漢字かな" * 500, "".join(r.choice("=-_*") for _ in range(999)), *("".join(r.choice("theinaobl") for _ in range(r.randint(1, 90))) for _ in range(400))]
+    assert enc.encode(words) == [ref.encode_ordinary(w) for w in words]
+
+
 # --- leaks
 
 
