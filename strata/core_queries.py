@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata.operators import hierarchy as H
 from strata.operators import incremental as I
 from strata.operators import skew as S
-from strata.runtime import scratch, table
+from strata.runtime import cut, scratch, table
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -29,11 +29,42 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _split(H.loop_nodes(_joint(spark, d))).select("graph", F.shiftright("node", 1).alias("node_id"))
 
 
+P1_FOUND_SQL = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'commit' AS graph, commit_id AS child, parent_id AS parent FROM commit_parents WHERE commit_id IS NOT NULL AND parent_id IS NOT NULL
+  UNION SELECT 'symbol', id, parent_id FROM symbols WHERE id IS NOT NULL AND parent_id IS NOT NULL),
+r AS (SELECT graph, parent AS top, child AS id FROM e UNION SELECT r.graph, r.top, e.child FROM r JOIN e ON e.graph = r.graph AND e.parent = r.id)
+SELECT graph, id AS node_id FROM r WHERE top = id
+"""
+
+
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     """All that is known of every node. descendants counts over all parent links; tree_descendants, like root, depth, path, pre and post, over the smallest parents."""
     half = lambda c: F.shiftright(c, 1).alias(c)
-    out = _split(H.hierarchy(_joint(spark, d)))
-    return out.select("graph", F.shiftright("node", 1).alias("node_id"), half("loop"), half("root"), F.col("depth").cast("long").alias("depth"), F.concat_ws("/", F.transform("path", lambda x: F.shiftright(x, 1).cast("string"))).alias("path"), half("path_anchor"), "pre", "post", F.col("below").alias("descendants"), F.col("descendants").cast("long").alias("tree_descendants"), F.transform("back_edges", lambda x: F.shiftright(x, 1)).alias("back_edges"))
+    line = lambda c, mark: F.array_join(F.transform(c, lambda x: F.shiftright(x, 1).cast("string")), mark).alias(c)
+    out = _split(H.full_paths(cut(H.hierarchy(_joint(spark, d)))))
+    return out.select("graph", F.shiftright("node", 1).alias("node_id"), half("loop"), half("root"), F.col("depth").cast("long").alias("depth"), line("path", "/"), "pre", "post", F.col("below").alias("descendants"), F.col("descendants").alias("tree_descendants"), line("back_edges", ","))
+
+
+P1_NODES_SQL = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'commit' AS graph, commit_id AS child, parent_id AS parent FROM commit_parents WHERE commit_id IS NOT NULL AND parent_id IS NOT NULL
+  UNION SELECT 'symbol', id, parent_id FROM symbols WHERE id IS NOT NULL AND parent_id IS NOT NULL),
+n AS (SELECT graph, child AS id FROM e UNION SELECT graph, parent FROM e),
+r AS (SELECT graph, parent AS top, child AS id FROM e UNION SELECT r.graph, r.top, e.child FROM r JOIN e ON e.graph = r.graph AND e.parent = r.id),
+b AS (SELECT graph, top AS id, count(*) FILTER (WHERE id <> top) AS descendants FROM r GROUP BY ALL),
+s AS (SELECT x.graph, x.id, min(x.top) AS loop FROM r x JOIN r y ON y.graph = x.graph AND y.top = x.id AND y.id = x.top GROUP BY ALL),
+k AS (SELECT e.graph, e.child AS id, string_agg(CAST(e.parent AS VARCHAR), ',' ORDER BY e.parent) AS back_edges FROM e JOIN s u ON u.graph = e.graph AND u.id = e.child JOIN s v ON v.graph = e.graph AND v.id = e.parent
+      WHERE u.loop = v.loop AND e.parent <= e.child GROUP BY ALL),
+m AS (SELECT graph, child, min(parent) AS parent FROM e GROUP BY ALL),
+t AS (
+  SELECT n.graph, n.id, n.id AS root, CAST(0 AS BIGINT) AS depth, [n.id] AS path FROM n LEFT JOIN m ON m.graph = n.graph AND m.child = n.id WHERE m.child IS NULL
+  UNION ALL SELECT m.graph, m.child, t.root, t.depth + 1, list_append(t.path, m.child) FROM t JOIN m ON m.graph = t.graph AND m.parent = t.id),
+d AS (SELECT graph, above AS id, count(*) - 1 AS tree_descendants FROM (SELECT graph, unnest(path) AS above FROM t) GROUP BY ALL),
+o AS (SELECT t.*, row_number() OVER (PARTITION BY graph, root ORDER BY path) - 1 AS pre FROM t)
+SELECT n.graph, n.id AS node_id, s.loop, o.root, o.depth, list_aggregate(o.path, 'string_agg', '/') AS path, o.pre, o.pre + d.tree_descendants AS post, coalesce(b.descendants, 0) AS descendants, d.tree_descendants, coalesce(k.back_edges, '') AS back_edges
+FROM n LEFT JOIN s ON s.graph = n.graph AND s.id = n.id LEFT JOIN o ON o.graph = n.graph AND o.id = n.id LEFT JOIN d ON d.graph = n.graph AND d.id = n.id LEFT JOIN b ON b.graph = n.graph AND b.id = n.id LEFT JOIN k ON k.graph = n.graph AND k.id = n.id
+"""
 
 
 def p1_depth(spark: SparkSession, d: str) -> DataFrame:
@@ -148,4 +179,4 @@ def p5_calls(spark: SparkSession, d: str) -> DataFrame:
 P5_CALLS_SQL = "SELECT ref_name, count(*) AS n_refs, min(id) AS first_id, count(DISTINCT blob_id) AS n_blobs FROM symbol_refs GROUP BY ref_name"
 
 QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_after": p2_after, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
-SQL = {"p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p2_found": P2_FOUND_SQL, "p2_after": P2_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_nodes": P1_NODES_SQL, "p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p2_found": P2_FOUND_SQL, "p2_after": P2_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}
