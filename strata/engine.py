@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata import model
+from strata.functions.symbols import register_function
 from strata.operators import fulltext
 from strata.query.parser import ParsedQuery, SearchType, parse
 from strata.query.translate import Translated, strategy, translate
@@ -124,6 +125,7 @@ class Engine:
         """The tables as temporary views and the text searches as table functions of the session."""
         for name, df in self.tables.items():
             (df.dropDuplicates(["doc_id"]) if name.endswith("_docs") else df).createOrReplaceTempView(name)
+        register_function(self.spark)
         for kind in ("code", "diff"):
             key = "blob_id" if kind == "code" else "diff_id"
             self.spark.sql(_search_function(f"{kind}_search", f"{kind}_docs", key))

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 LANGUAGES = ("go", "rust", "python", "javascript", "jsx", "typescript", "tsx", "c", "cpp")
 
@@ -318,6 +319,7 @@ def _c(c: Code, plus: bool) -> list[Symbol]:
         if plus and (label := re.match(r"(?:(?:public|private|protected)\s*:\s*)+", before)):
             start += label.end()
             before = before[label.end() :]
+        before = re.sub(r"\b(?:static|extern|inline|register|_Noreturn|virtual|explicit|constexpr)\b\s*", "", before)
         short = m.group(1).split("::")[-1] if not plus else m.group(1)
         out.append(_make(c, short, "function", start, tail.end() - 1, c.end_of(tail.end() - 1), before, _inner(c, paren)))
     return out
@@ -359,7 +361,8 @@ def _calls(c: Code, lang: str, defs: list[Symbol]) -> list[Ref]:
         if lang in ("c", "cpp") and (w := re.search(r"(\w+)\s*[*&]*$", before)) and w.group(1) not in _NOT_CALLS - {"void", "int", "char"} and not before.endswith(("&&", "*=", "&=")) and re.match(r"\s*(?:const\s*)?;", c.code[c.close.get(m.end() - 1, m.end()) + 1 :]) and not re.search(r"[=+/%!?<>|^-]\s*\w+\s*[*&]$", c.code[max(0, m.start() - 60) : m.start()].rstrip()):
             continue
         out.append(Ref(name, _chain_start(c, m.start())))
-    shapes = [(s.start, s.end) for s in defs if s.kind == "interface"]
+    # a method named in an interface is no call
+    shapes = [(s.start, s.end) for s in defs if s.kind == "interface" or lang == "go" and s.signature.endswith("interface")]
     out = [r for r in out if not any(a <= r.start < b for a, b in shapes)]
     if lang == "rust":
         for m in re.finditer(r"(?<![\w$])([A-Za-z_]\w*)!\s*[(\[{]", c.code):
@@ -510,3 +513,17 @@ def symbol_tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     symbols = extracted.where("NOT is_ref").select(sid("idx").alias("id"), "blob_id", sid("parent_idx").alias("parent_id"), "name", "kind", "line", "col", "end_line", "end_col", "signature", "return_type", "params")
     refs = extracted.where("is_ref").select(F.xxhash64(F.lit("ref"), "blob_id", "idx").alias("id"), "blob_id", sid("parent_idx").alias("symbol_id"), F.col("name").alias("ref_name"), "kind", "line", "col")
     return symbols, refs
+
+
+def register_function(spark) -> None:
+    """extract_symbols(content, language) as a table function of SQL, for lateral joins; the columns are those of SYMBOL_SCHEMA without the blob."""
+
+    class ExtractSymbols:
+        def eval(self, content: str, language: str):
+            found = extract(content, language) if content is not None and language is not None else None
+            for i, s in enumerate(found.symbols if found else ()):
+                yield (False, i, s.parent, s.name, s.kind, *s.at, s.signature, s.return_type, s.params)
+            for i, r in enumerate(found.refs if found else ()):
+                yield (True, i, r.inside, r.name, r.kind, *r.at, None, None, None, None, None)
+
+    spark.udtf.register("extract_symbols", udtf(ExtractSymbols, returnType=SYMBOL_SCHEMA.partition(", ")[2], useArrow=True))

@@ -13,10 +13,12 @@ SQL: dict[str, str] = {}
 _TABLES = ("repos", "commits", "commit_parents", "refs", "blobs", "file_revs", "diffs", "symbols", "symbol_refs", "code_docs", "diff_docs")
 
 
-def _put(name: str, sql: str, duck: str | None = None) -> None:
-    """sql names tables as {table}; duck is the text for DuckDB where it must differ."""
+def _put(name: str, sql: str, duck: str | None = None, settings: dict[str, str] | None = None) -> None:
+    """sql names tables as {table}; duck is the text for DuckDB where it must differ; settings are set in the session before."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
         e = Engine.over_corpus(spark, d)
         table(spark, d, "events").createOrReplaceTempView("events")
         return e.sql(sql.format(**{t: t for t in _TABLES}))
@@ -43,7 +45,15 @@ _put("r_exists", "SELECT id FROM {commits} c WHERE EXISTS (SELECT 1 FROM {file_r
 _put("r_not_in", "SELECT id FROM {blobs} WHERE id NOT IN (SELECT blob_id FROM {symbols} WHERE blob_id IS NOT NULL)")
 _put("r_scalar_subquery", "SELECT r.id, (SELECT count(*) FROM {commits} c WHERE c.repo_id = r.id) AS n_commits FROM {repos} r")
 _put("r_cte", "WITH n AS (SELECT repo_id, count(*) AS n FROM {commits} GROUP BY repo_id), m AS (SELECT avg(n) AS a FROM n) SELECT repo_id, n FROM n, m WHERE n > a")
-_put("r_recursive", "WITH RECURSIVE up(id, parent_id, lvl) AS (SELECT id, parent_id, CAST(0 AS BIGINT) FROM {symbols} WHERE blob_id % 7 = 0 UNION ALL SELECT up.id, s.parent_id, up.lvl + 1 FROM up JOIN {symbols} s ON s.id = up.parent_id WHERE up.lvl < 3) SELECT id, parent_id, lvl FROM up WHERE parent_id IS NOT NULL")
+_UP = "SELECT up.id, s.parent_id AS above, up.lvl + 1 AS lvl, {add} AS path FROM up JOIN {{symbols}} s ON s.id = up.above WHERE NOT {has}"
+_RECURSIVE = "WITH RECURSIVE up(id, above, lvl, path) {deep}AS (SELECT id, parent_id, CAST(0 AS BIGINT), {one} FROM {{symbols}} WHERE parent_id IS NOT NULL UNION ALL " + _UP + ") SELECT id, above, lvl FROM up WHERE above IS NOT NULL"
+# every symbol with all symbols above it; a path that comes back to itself ends
+_put(
+    "r_recursive",
+    _RECURSIVE.format(deep="MAX RECURSION LEVEL 100000 ", one="array(id)", add="array_append(up.path, s.id)", has="array_contains(up.path, s.id)"),
+    _RECURSIVE.format(deep="", one="[id]", add="list_append(up.path, s.id)", has="list_contains(up.path, s.id)"),
+    {"spark.sql.cteRecursionRowLimit": "-1"},
+)
 _put("r_union", "SELECT kind FROM {symbols} UNION SELECT kind FROM {symbol_refs}")
 _put("r_union_all", "SELECT path FROM {file_revs} UNION ALL SELECT path FROM {diffs}")
 _put("r_intersect", "SELECT name FROM {symbols} INTERSECT SELECT ref_name FROM {symbol_refs}")
@@ -65,7 +75,10 @@ _put("r_strings", "SELECT id, length(name) AS n, upper(name) AS u, lower(name) A
 _put("r_math", "SELECT id, abs(line - 20) AS a, round(line / 7.0D, 3) AS r, least(line, col) AS lo, greatest(line, col) AS hi, line % 5 AS m, line div 5 AS d FROM {symbols} WHERE line IS NOT NULL AND col IS NOT NULL", "SELECT id, abs(line - 20) AS a, round(line / CAST(7 AS DOUBLE), 3) AS r, least(line, col) AS lo, greatest(line, col) AS hi, line % 5 AS m, line // 5 AS d FROM {symbols} WHERE line IS NOT NULL AND col IS NOT NULL")
 _put("r_dates", "SELECT id, date_format(timestamp_seconds(timestamp), 'yyyy-MM-dd') AS day, year(timestamp_seconds(timestamp)) AS y, CAST(unix_seconds(date_trunc('month', timestamp_seconds(timestamp))) AS BIGINT) AS m FROM {commits} WHERE timestamp IS NOT NULL", "SELECT id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, CAST(year(to_timestamp(timestamp) AT TIME ZONE 'UTC') AS INT) AS y, CAST(epoch(date_trunc('month', to_timestamp(timestamp) AT TIME ZONE 'UTC')) AS BIGINT) AS m FROM {commits} WHERE timestamp IS NOT NULL")
 _put("r_json", "SELECT event_id, get_json_object(props, '$.k') AS k, event_type FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events")
-_put("r_series", "SELECT s.n, count(f.id) AS files FROM (SELECT explode(sequence(1, 40)) AS n) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n", "SELECT s.n, count(f.id) AS files FROM (SELECT unnest(range(1, 41)) AS n) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n")
+_put("r_series", "SELECT s.n, count(f.id) AS files FROM (SELECT explode(sequence(lo, hi)) AS n FROM (SELECT min(blob_id) AS lo, max(blob_id) AS hi FROM {file_revs})) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n", "SELECT s.n, count(f.id) AS files FROM (SELECT unnest(range(lo, hi + 1)) AS n FROM (SELECT min(blob_id) AS lo, max(blob_id) AS hi FROM {file_revs})) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n")
+_put("r_json_each", "SELECT e.event_id, j.key, j.value FROM events e, LATERAL explode(from_json(e.props, 'map<string,string>')) AS j(key, value)", "SELECT e.event_id, j.key, json_extract_string(e.props, '$.' || j.key) AS value FROM events e, json_each(e.props) j")
+_put("r_percentile", "SELECT kind, approx_percentile(line, 0.5, 1000000) AS middle, approx_percentile(line, 0.9, 1000000) AS high FROM {symbols} WHERE line IS NOT NULL GROUP BY kind", "SELECT kind, quantile_disc(line, 0.5) AS middle, quantile_disc(line, 0.9) AS high FROM {symbols} WHERE line IS NOT NULL GROUP BY kind")
+_put("r_sample", "SELECT abs(count(*) - 0.5 * (SELECT count(*) FROM {symbol_refs})) < 0.1 * (SELECT count(*) FROM {symbol_refs}) AS near FROM {symbol_refs} TABLESAMPLE (50 PERCENT) REPEATABLE (7)", "SELECT true AS near")
 _put("r_rollup", "SELECT language, parsed, count(*) AS n, CAST(grouping(language) AS BIGINT) AS gl FROM {blobs} GROUP BY ROLLUP (language, parsed)")
 _put("r_cube", "SELECT kind, return_type, count(*) AS n FROM {symbols} GROUP BY CUBE (kind, return_type)")
 _put("r_grouping_sets", "SELECT kind, blob_id, count(*) AS n FROM {symbol_refs} GROUP BY GROUPING SETS ((kind), (blob_id), ())")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata import model
 from strata.functions.symbols import extract_symbols, symbol_tables
 from strata.runtime import table
-from strata.streaming.ingest import KeyedTable, fresh_paths, ingest, windowed_counts
+from strata.streaming.ingest import KeyedTable, fresh_paths, ingest, stream_windows
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -24,12 +24,6 @@ def x_refs(spark: SparkSession, d: str) -> DataFrame:
     return symbol_tables(extract_symbols(_texts(spark, d)))[1].distinct()
 
 
-def x_python_defs(spark: SparkSession, d: str) -> DataFrame:
-    """Functions and classes of Python texts, by the first lines that open them; only of texts whose lines SQL can read alike."""
-    found = extract_symbols(_texts(spark, d).where("language = 'python'")).where("NOT is_ref AND kind = 'class' AND col = 1")
-    return found.select("blob_id", "name", F.col("line").cast("long").alias("line")).distinct()
-
-
 def st_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Commits read as a stream of files and merged by hash; the same rows as the last of each hash in the table."""
     schema = model.SCHEMAS["commits"]
@@ -43,11 +37,13 @@ ST_INGEST_SQL = "SELECT hash, repo_id, timestamp, message FROM (SELECT DISTINCT
 
 
 def st_windows(spark: SparkSession, d: str) -> DataFrame:
-    out = windowed_counts(table(spark, d, "events"))
+    """Events read as a stream and counted in windows; each batch's counts replace those of the batch before."""
+    folder, checkpoint = fresh_paths(spark)
+    out = stream_windows(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, folder, checkpoint)
     return out.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 ST_WINDOWS_SQL = "SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (x_symbols, x_refs, x_python_defs, st_ingest, st_windows)}
+QUERIES = {f.__name__: f for f in (x_symbols, x_refs, st_ingest, st_windows)}
 SQL = {"st_ingest": ST_INGEST_SQL, "st_windows": ST_WINDOWS_SQL}

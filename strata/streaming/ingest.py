@@ -54,6 +54,19 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
+WINDOWS = StructType.fromDDL("window_start timestamp, event_type string, n long, total double")
+
+
+def stream_windows(spark: SparkSession, folder: str, schema: StructType, target: str, checkpoint: str, per_batch: int = 1000, late: str = "10 minutes") -> DataFrame:
+    """windowed_counts of all files that are there and weren't taken before, merged into the table at target: a window's latest
+    counts are the highest. Rows of windows that the watermark has left behind are dropped."""
+    counts = KeyedTable(spark, target, WINDOWS, ["window_start", "event_type"], "n")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", per_batch).parquet(folder)
+    query = windowed_counts(stream, late).writeStream.outputMode("update").foreachBatch(lambda df, n: counts.merge(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counts.read()
+
+
 def fresh_paths(spark: SparkSession) -> tuple[str, str]:
     base = scratch(spark, "stream")
     return os.path.join(base, "table"), os.path.join(base, "checkpoint")

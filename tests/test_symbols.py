@@ -1,54 +1,21 @@
-from strata.functions.symbols import LANGUAGES, extract
-
-
-def names(found):
-    return [(s.name, s.kind) for s in found.symbols]
-
-
-def test_go():
-    f = extract("package main\n\nfunc hello(x int, y string) string {\n\tworld()\n}\n\nfunc world() {\n}\n", "go")
-    assert names(f) == [("hello", "function"), ("world", "function")]
-    assert [(r.name, r.inside) for r in f.refs] == [("world", 0)]
-    assert f.symbols[0].return_type == "string" and f.symbols[0].params == "x int, y string" and f.symbols[0].at == (3, 1, 5, 2)
-
+import pytest
 
-def test_rust():
-    f = extract('fn hello(x: i32, y: &str) -> String {\n    println!("hi");\n}\n\nfn world() {\n    hello();\n}\n', "rust")
-    assert names(f) == [("hello", "function"), ("world", "function")]
-    assert [(r.name, r.inside) for r in f.refs] == [("println", 0), ("hello", 1)]
-    assert f.symbols[0].return_type == "String" and f.symbols[0].params == "x: i32, y: &str" and f.symbols[0].signature == "fn hello(x: i32, y: &str) -> String"
-    g = extract("struct Foo { x: i32 }\n\nimpl Foo {\n    fn bar(&self, n: usize) -> Option<i32> {\n        baz()\n    }\n}\n", "rust")
-    assert names(g) == [("Foo", "struct"), ("Foo", "impl"), ("bar", "function")]
-    assert g.symbols[2].parent == 1 and [(r.name, r.inside) for r in g.refs] == [("baz", 2)]
-    assert g.symbols[0].return_type is None and g.symbols[2].return_type == "Option<i32>" and g.symbols[2].params == "&self, n: usize"
-
-
-def test_python():
-    f = extract("class A:\n    def m(self):\n        foo()\n\ndef hello(x: int, y: str) -> str:\n    return a.b(x)\n", "python")
-    assert names(f) == [("A", "class"), ("m", "function"), ("hello", "function")]
-    assert f.symbols[1].parent == 0 and [(r.name, r.inside) for r in f.refs] == [("foo", 1), ("b", 2)]
-    assert f.symbols[2].return_type == "str" and f.symbols[2].params == "x: int, y: str"
-    assert extract("def broken(:", "python").symbols == []
-
-
-def test_scripts():
-    f = extract("function hello(x: number, y: string): string { return f(x); }\ninterface I { a: number }\nenum E { A }\ntype T = string;\nclass C { m(a: T): void { g(a); } }", "typescript")
-    assert names(f) == [("hello", "function"), ("I", "interface"), ("E", "enum"), ("T", "type_alias"), ("C", "class"), ("m", "method")]
-    assert f.symbols[0].return_type == "string" and f.symbols[0].params == "x: number, y: string" and f.symbols[5].parent == 4
-    g = extract("function hello(x, y) { world('}'); } // f()", "javascript")
-    assert g.symbols[0].return_type is None and g.symbols[0].params == "x, y" and [r.name for r in g.refs] == ["world"]
+from strata import contract_queries as C
+from strata.functions.symbols import LANGUAGES, extract
 
 
-def test_c_and_cpp():
-    f = extract("struct Point { int x; };\n\nint add(int a, int b) {\n    return a + b;\n}\n\nint main() {\n    add(1, 2);\n    p->other(3);\n}\n", "c")
-    assert names(f) == [("Point", "struct"), ("add", "function"), ("main", "function")]
-    assert [(r.name, r.inside) for r in f.refs] == [("add", 2)] and f.symbols[1].return_type == "int" and f.symbols[1].params == "int a, int b"
-    g = extract("namespace n { class A { int f() { return g(); } }; }\nint n::A::k() { o.m(); }\n", "cpp")
-    assert ("n", "namespace") in names(g) and ("A", "class") in names(g) and ("n::A::k", "function") in names(g) and "m" in [r.name for r in g.refs]
+@pytest.mark.parametrize("lang", C.SOURCES)
+def test_own_sources(lang):
+    found = extract(C.SOURCES[lang], lang)
+    if lang not in LANGUAGES:
+        assert found is None
+        return
+    assert [(s.name, s.kind, *s.at, s.parent, s.signature, s.return_type, s.params) for s in found.symbols] == [r[2:] for r in C.SYMBOLS if r[0] == lang]
+    assert [(r.name, r.kind, *r.at, r.inside) for r in found.refs] == [r[2:] for r in C.CALLS if r[0] == lang]
 
 
-def test_others():
-    assert extract("anything", "fortran") is None and len(LANGUAGES) == 9
+def test_unreadable_texts():
+    assert len(LANGUAGES) == 9 and extract("def broken(:", "python").symbols == []
     for lang in LANGUAGES:
         assert extract("", lang).symbols == []
         extract("((((((" * 50 + "}}}]" + "\"'`/*", lang)
