@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from strata import model
 from strata.functions.symbols import register_function
 from strata.operators import fulltext
-from strata.query.parser import ParsedQuery, SearchType, parse
+from strata.query.parser import ParsedQuery, Strategy, parse
 from strata.query.translate import Translated, strategy, translate
+from strata.runtime import scratch
 
 #: The columns of every search result, in order.
 RESULT = ("repo", "file_path", "content", "score", "line", "language", "commit_hash", "author", "message", "symbol_name", "symbol_kind")
@@ -47,6 +48,10 @@ def writes(spark: SparkSession, text: str) -> str | None:
     return None
 
 
+#: Folders of the indexes that over_indexed_corpus has written, by application, data and kind.
+_written: dict[tuple[str, str, str], str] = {}
+
+
 class Engine:
     """Search and SQL over one set of tables. Nothing is computed before a result is asked for."""
 
@@ -60,6 +65,22 @@ class Engine:
     def over_corpus(cls, spark: SparkSession, sf_dir: str) -> Engine:
         return cls(spark, model.corpus_tables(spark, sf_dir))
 
+    @classmethod
+    def over_indexed_corpus(cls, spark: SparkSession, sf_dir: str, *kinds: str) -> Engine:
+        """over_corpus with the text indexes of kinds, which are written to the shared folder when the application first asks for them."""
+        e = cls(spark, model.corpus_tables(spark, sf_dir))
+        for kind in kinds:
+            key = (spark.sparkContext.applicationId, sf_dir, kind)
+            if key not in _written:
+                root = scratch(spark, f"{kind}-index")
+                terms, lengths = e.index_texts(kind)
+                # each file holds a range of terms, in order: a search reads the row groups of its words
+                terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/terms")
+                lengths.write.parquet(f"{root}/lengths")
+                _written[key] = root
+            e.indexes[kind] = tuple(spark.read.parquet(f"{_written[key]}/{t}") for t in ("terms", "lengths"))
+        return e
+
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Engine:
         """The tables of the store at root; empty tables where it is new."""
@@ -69,30 +90,41 @@ class Engine:
         return cls(spark, store.read_all(), store.read_indexes())
 
     def hits(self, q: ParsedQuery) -> DataFrame:
-        """(doc_id, score, snippet) of all documents that match, unranked."""
+        """(doc_id, score) of all documents that match, unranked. With a stored index no text is read."""
         kind = q.type.value
         docs = self.tables[f"{kind}_docs"]
         if q.is_regex:
-            scored = fulltext.regex_rank(docs, q.texts[0])
-            needles = [q.texts[0]]
-        else:
-            terms, lengths = self.indexes.get(kind) or (fulltext.scan_terms(docs, q.groups), fulltext.length_table(docs))
-            scored = fulltext.rank(terms, lengths, q.groups)
-            needles = list(dict.fromkeys(c.words[0] for g in q.groups for c in fulltext.clauses(g) if c.words and c.sign != "-"))
-        return scored.join(docs, "doc_id").select("doc_id", "score", fulltext.snippet("content", needles, q.is_regex).alias("snippet")).distinct()
+            return fulltext.regex_rank(docs, q.texts[0])
+        terms, lengths = self.indexes.get(kind) or (fulltext.scan_terms(docs, q.groups), fulltext.length_table(docs))
+        return fulltext.rank(terms, lengths, q.groups)
+
+    def snippets(self, top: DataFrame, q: ParsedQuery) -> DataFrame:
+        """top, whose content holds document ids, with the documents' snippets instead. top has at most a search's limit of
+        rows, and so it is what is broadcast; texts are read where they lie, and cut for these rows only."""
+        needles = [q.texts[0]] if q.is_regex else list(dict.fromkeys(c.words[0] for g in q.groups for c in fulltext.clauses(g) if c.words and c.sign != "-"))
+        text = self.tables[f"{q.type.value}_docs"].select(F.col("doc_id").alias("_doc"), F.col("content").alias("_text"))
+        wanted = top.withColumn("_doc", F.col("content").cast("long")).withColumn("_row", F.monotonically_increasing_id())
+        rest = [c for c in top.columns if c != "content"]
+        found = text.join(F.broadcast(wanted.drop("content")), "_doc").select("_row", *rest, fulltext.snippet("_text", needles, q.is_regex).alias("content"))
+        # exact copies of a text give a row once
+        return found.dropDuplicates(["_row"]).orderBy("_row").select(*top.columns)
 
     def search(self, text: str) -> DataFrame:
-        """Result rows of a search string in the columns RESULT; those that a kind of search doesn't fill are null."""
+        """Result rows of a search string in the columns RESULT; those that a kind of search doesn't fill are null.
+
+        By its strategy a search reads the metadata alone, or ranks the text index first. Only the rows that are left after the limit are
+        joined with their texts.
+        """
         q = parse(text)
-        strategy(q)
-        views = dict(self.tables)
-        hits = None
-        if q.type in (SearchType.CODE, SearchType.DIFF) and not (q.filters.calls or q.filters.calledby or q.filters.returns):
+        views, hits = dict(self.tables), None
+        if strategy(q) is not Strategy.SQL_ONLY:
             translate(q)  # errors first
             hits = "found_hits"
-            views[hits] = self.hits(q)
+            views[hits] = self.hits(q).withColumn("snippet", F.col("doc_id").cast("string"))
         t = translate(q, hits)
         df = self._run(t.sql, t.args, views)
+        if hits and "content" in df.columns:
+            df = self.snippets(df, q)
         have = set(df.columns)
         return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(_RESULT_KINDS.get(c, "string")).alias(c) for c in RESULT])
 
@@ -122,13 +154,15 @@ class Engine:
         return self.spark.sql(text, args=args or None)
 
     def register(self) -> None:
-        """The tables as temporary views and the text searches as table functions of the session."""
+        """The tables as temporary views and the text searches as table functions of the session, over the stored indexes where there are any."""
         for name, df in self.tables.items():
             (df.dropDuplicates(["doc_id"]) if name.endswith("_docs") else df).createOrReplaceTempView(name)
         register_function(self.spark)
         for kind in ("code", "diff"):
-            key = "blob_id" if kind == "code" else "diff_id"
-            self.spark.sql(_search_function(f"{kind}_search", f"{kind}_docs", key))
+            self.tables[f"{kind}_docs"].createOrReplaceTempView(f"all_{kind}_docs")
+            for name, df in zip(("terms", "lengths"), self.indexes.get(kind, ())):
+                df.createOrReplaceTempView(f"{kind}_{name}")
+            self.spark.sql(_search_function(kind, kind in self.indexes))
 
     @contextlib.contextmanager
     def tagged(self, tag: str) -> Iterator[None]:
@@ -151,21 +185,33 @@ class Engine:
         return Engine(self.spark, self.tables, {**self.indexes, **{k: self.index_texts(k) for k in kinds}})
 
 
-def _search_function(name: str, docs: str, key: str) -> str:
-    """A table function in SQL: AND of the words of q ranked by BM25, or, as a regular expression, by occurrences."""
+def _search_function(kind: str, indexed: bool) -> str:
+    """A table function in SQL: AND of the words of q ranked by BM25, or, as a regular expression, by occurrences.
+
+    The words are looked up by equality in the stored terms, or each text is asked for each word where there is no index.
+    """
+    name, docs, key = f"{kind}_search", f"all_{kind}_docs", "blob_id" if kind == "code" else "diff_id"
     token = r"[\\p{L}\\p{N}_]+"
+    asked = f"array_distinct(regexp_extract_all(lower({name}.q), '{token}', 0))"
+    if indexed:
+        tf = f"""lens AS (SELECT doc_id, len FROM {kind}_lengths),
+asked AS (SELECT explode({asked}) AS term),
+tf AS (SELECT t.doc_id, l.len, t.term, t.tf FROM {kind}_terms t JOIN asked a ON a.term = t.term JOIN lens l ON l.doc_id = t.doc_id WHERE NOT {name}.is_regex)"""
+    else:
+        tf = f"""toks AS (SELECT DISTINCT doc_id, size(w) AS len, transform({asked}, a -> named_struct('term', a, 'tf', size(filter(w, x -> x = a)))) AS found
+  FROM (SELECT doc_id, regexp_extract_all(lower(content), '{token}', 0) AS w FROM {docs} WHERE NOT {name}.is_regex AND content IS NOT NULL)),
+lens AS (SELECT doc_id, len FROM toks WHERE len > 0),
+tf AS (SELECT doc_id, len, f.term, CAST(f.tf AS BIGINT) AS tf FROM (SELECT doc_id, len, explode(found) AS f FROM toks) WHERE f.tf > 0)"""
     return f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(q STRING, is_regex BOOLEAN DEFAULT false)
 RETURNS TABLE (doc_id BIGINT, {key} BIGINT, score DOUBLE, snippet STRING) RETURN
-WITH asked AS (SELECT DISTINCT explode(regexp_extract_all(lower({name}.q), '{token}', 0)) AS term),
-toks AS (SELECT doc_id, regexp_extract_all(lower(content), '{token}', 0) AS w FROM {docs} WHERE NOT {name}.is_regex AND content IS NOT NULL),
-stats AS (SELECT count(*) AS n, avg(size(w)) AS al FROM toks WHERE size(w) > 0),
-tf AS (SELECT t.doc_id, size(t.w) AS len, a.term, size(filter(t.w, x -> x = a.term)) AS tf FROM toks t JOIN asked a ON array_contains(t.w, a.term)),
+WITH {tf},
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-ranked AS (SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5D) / (df + 0.5D)) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * len / al))), 4) AS score
-  FROM tf JOIN df USING (term) CROSS JOIN stats GROUP BY tf.doc_id HAVING count(*) = (SELECT count(*) FROM asked)),
-found AS (SELECT doc_id, score FROM ranked
-  UNION ALL SELECT doc_id, CAST(regexp_count(content, {name}.q) AS DOUBLE) FROM {docs} WHERE {name}.is_regex AND content RLIKE {name}.q)
-SELECT f.doc_id, f.doc_id AS {key}, f.score, coalesce(substring(regexp_replace(try_element_at(filter(split(d.content, '\\n'), l -> CASE WHEN {name}.is_regex THEN l RLIKE {name}.q ELSE contains(lower(l), element_at(regexp_extract_all(lower({name}.q), '{token}', 0), 1)) END), 1), '^\\\\s+|\\\\s+$', ''), 1, 200), '')
+stats AS (SELECT count(*) AS n, avg(len) AS al FROM lens),
+ranked AS (SELECT tf.doc_id, round(sum(ln(1 + ((SELECT n FROM stats) - df + 0.5D) / (df + 0.5D)) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * len / (SELECT al FROM stats)))), 4) AS score, count(*) AS met
+  FROM tf JOIN df USING (term) GROUP BY tf.doc_id),
+found AS (SELECT doc_id, score FROM ranked WHERE met = size({asked})
+  UNION ALL SELECT DISTINCT doc_id, CAST(regexp_count(content, {name}.q) AS DOUBLE) FROM {docs} WHERE {name}.is_regex AND content RLIKE {name}.q)
+SELECT DISTINCT f.doc_id, f.doc_id AS {key}, f.score, coalesce(substring(regexp_replace(try_element_at(filter(split(d.content, '\\n'), l -> CASE WHEN {name}.is_regex THEN l RLIKE {name}.q ELSE contains(lower(l), try_element_at(regexp_extract_all(lower({name}.q), '{token}', 0), 1)) END), 1), '^\\\\s+|\\\\s+$', ''), 1, 200), '')
 FROM found f JOIN {docs} d ON d.doc_id = f.doc_id
 """

@@ -114,11 +114,11 @@ def rank(terms: DataFrame, lengths: DataFrame, groups: list[list[Term]]) -> Data
         if not wanted:
             continue
         hits = None
-        for i, c in enumerate(wanted):
-            m = _matches(terms, c).select("doc_id", F.lit(i).alias("clause"), "tf", F.lit(c.boost).alias("boost"))
+        for c in wanted:
+            m = _matches(terms, c)
+            m = m.select("doc_id", "tf", F.lit(c.boost).alias("boost"), m.agg(F.count(F.lit(1)).alias("df")).scalar().alias("df"))
             hits = m if hits is None else hits.union(m)
-        df = hits.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))
-        scored = hits.join(F.broadcast(df), "clause").join(lengths, "doc_id")
+        scored = hits.join(lengths, "doc_id")
         idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
         per = scored.groupBy("doc_id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("met")).where(F.col("met") == len(wanted)).select("doc_id", "score")

@@ -82,9 +82,7 @@ def pattern_clause(p: _Parts, column: str, pattern: str, case: bool) -> str:
     """Substring, or whole-string glob if the pattern has a wildcard; % and _ of a substring pattern act as wildcards too."""
     if has_wildcard(pattern):
         return f"{column} RLIKE {p.bind(glob_to_regex(pattern))}" if case else f"lower({column}) RLIKE {p.bind(glob_to_regex(pattern.lower()))}"
-    if case:
-        return f"{column} RLIKE {p.bind(glob_to_regex(f'*{pattern}*'))}"
-    return f"{column} ILIKE {p.bind(f'%{pattern}%')} ESCAPE '{_ESCAPE}'"
+    return f"{column} {'LIKE' if case else 'ILIKE'} {p.bind(f'%{pattern}%')} ESCAPE '{_ESCAPE}'"
 
 
 def any_pattern(p: _Parts, column: str, patterns: list[str], case: bool) -> str:

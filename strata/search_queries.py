@@ -9,7 +9,8 @@ from strata import model
 from strata.engine import Engine
 from strata.functions.languages import BY_EXTENSION, language_of, repo_name_of
 from strata.operators import dataflow, fulltext, intervals
-from strata.query.parser import Term, parse
+from strata.query.parser import Strategy, Term, parse
+from strata.query.translate import strategy
 from strata.runtime import table
 
 QUERIES: dict = {}
@@ -32,7 +33,9 @@ def _corpus(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def _search(name: str, text: str, columns: str, sql: str) -> None:
     cols = columns.split()
-    _put(name, lambda s, d: Engine.over_corpus(s, d).search(text).select(*cols), sql)
+    q = parse(text)
+    kinds = (q.type.value,) if strategy(q) is not Strategy.SQL_ONLY and not q.is_regex else ()
+    _put(name, lambda s, d: Engine.over_indexed_corpus(s, d, *kinds).search(text).select(*cols), sql)
 
 
 def _bm25(words: list[str], docs: str, name: str = "hits") -> str:
@@ -81,29 +84,32 @@ _put("ft_lengths", lambda s, d: fulltext.length_table(_corpus(s, d)["code_docs"]
 
 
 def _rank(name: str, text: str, sql: str | None) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _corpus(spark, d)["code_docs"]
-        groups = parse(text).groups
-        return fulltext.rank(fulltext.scan_terms(docs, groups), fulltext.length_table(docs), groups)
+    _put(name, lambda s, d: _ranked(s, d, parse(text).groups), sql)
 
-    _put(name, run, sql)
+
+def _ranked(spark: SparkSession, d: str, groups: list[list[Term]]) -> DataFrame:
+    return fulltext.rank(*Engine.over_indexed_corpus(spark, d, "code").indexes["code"], groups)
 
 
 _rank("ft_and", "buffer flush", f", {_bm25(['buffer', 'flush'], 'v_code_docs')} SELECT doc_id, score FROM hits")
 _PHRASE = "{t} SELECT doc_id FROM toks WHERE list_contains(list_transform(range(1, len(w)), lambda k: w[k] = 'return' AND w[k + 1] = 'none'), true)"
-_put("ft_phrase", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := [[Term("return None", True)]]), fulltext.length_table(c), g).select("doc_id"), ", " + _PHRASE.format(t=_TOKS))
-_put("ft_wildcard", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("*_item").groups), fulltext.length_table(c), g).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE len(list_filter(w, lambda x: regexp_matches(x, '^.*_item$'))) > 0")
-_put("ft_fuzzy", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("ledgr~1").groups), fulltext.length_table(c), g).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE len(list_filter(w, lambda x: abs(len(x) - 5) <= 1 AND levenshtein(x, 'ledgr') <= 1)) > 0")
-_put("ft_must_not", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("+ledger -return").groups), fulltext.length_table(c), g).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE list_contains(w, 'ledger') AND NOT list_contains(w, 'return')")
-_put("ft_boost", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("ledger^2").groups), fulltext.length_table(c), g).select("doc_id", F.round(F.col("score"), 2).alias("score")), f", {_bm25(['ledger'], 'v_code_docs')}, x AS (SELECT t.doc_id, 2 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) AS sc FROM tf_hits t JOIN df_hits USING (term), st_hits) SELECT doc_id, round(round(sc, 4), 2) AS score FROM x")
+_put("ft_phrase", lambda s, d: _ranked(s, d, [[Term("return None", True)]]).select("doc_id"), ", " + _PHRASE.format(t=_TOKS))
+_put("ft_wildcard", lambda s, d: _ranked(s, d, parse("*_item").groups).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE len(list_filter(w, lambda x: regexp_matches(x, '^.*_item$'))) > 0")
+_put("ft_fuzzy", lambda s, d: _ranked(s, d, parse("ledgr~1").groups).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE len(list_filter(w, lambda x: abs(len(x) - 5) <= 1 AND levenshtein(x, 'ledgr') <= 1)) > 0")
+_put("ft_must_not", lambda s, d: _ranked(s, d, parse("+ledger -return").groups).select("doc_id"), f", {_TOKS} SELECT doc_id FROM toks WHERE list_contains(w, 'ledger') AND NOT list_contains(w, 'return')")
+_put("ft_boost", lambda s, d: _ranked(s, d, parse("ledger^2").groups).select("doc_id", F.round(F.col("score"), 2).alias("score")), f", {_bm25(['ledger'], 'v_code_docs')}, x AS (SELECT t.doc_id, 2 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) AS sc FROM tf_hits t JOIN df_hits USING (term), st_hits) SELECT doc_id, round(round(sc, 4), 2) AS score FROM x")
 _put("ft_regex", lambda s, d: fulltext.regex_rank(_corpus(s, d)["code_docs"], r"[a-z]+\(\)"), r" SELECT doc_id, CAST(len(regexp_extract_all(content, '[a-z]+\(\)')) AS DOUBLE) AS score FROM v_code_docs WHERE regexp_matches(content, '[a-z]+\(\)')")
 _put("ft_substring", lambda s, d: _corpus(s, d)["code_docs"].where(F.contains("content", F.lit('println!("{}"'))).select("doc_id", fulltext.snippet("content", ['println!("{}"']).alias("snippet")).distinct(), f" SELECT doc_id, {_SNIP.format(test='contains(lower(l), $$println!(@{}@$$)')} AS snippet FROM v_code_docs d WHERE contains(content, $$println!(@{{}}@$$)".replace("@", '"'))
 
 
 def _function(spark: SparkSession, d: str) -> DataFrame:
-    return Engine.over_corpus(spark, d).sql("SELECT blob_id, score FROM code_search('shard token')")
+    return Engine.over_indexed_corpus(spark, d, "code").sql("SELECT blob_id, score FROM code_search('shard token')")
 
 
+_put("ft_function_scan", lambda s, d: Engine.over_corpus(s, d).sql("SELECT blob_id, score FROM code_search('shard token')"), f", {_bm25(['shard', 'token'], 'v_code_docs')} SELECT doc_id AS blob_id, score FROM hits")
+_put("ft_function_diff", lambda s, d: Engine.over_indexed_corpus(s, d, "diff").sql("SELECT diff_id, score FROM diff_search('flush')"), f", {_bm25(['flush'], 'v_diff_docs')} SELECT doc_id AS diff_id, score FROM hits")
+_put("ft_function_regex", lambda s, d: Engine.over_corpus(s, d).sql("SELECT diff_id, score FROM diff_search('return [a-z]+;', true)"), " SELECT doc_id AS diff_id, CAST(len(regexp_extract_all(content, 'return [a-z]+;')) AS DOUBLE) AS score FROM v_diff_docs WHERE regexp_matches(content, 'return [a-z]+;')")
+_put("ft_scan", lambda s, d: fulltext.rank(fulltext.scan_terms(c := _corpus(s, d)["code_docs"], g := parse("buffer flush").groups), fulltext.length_table(c), g), f", {_bm25(['buffer', 'flush'], 'v_code_docs')} SELECT doc_id, score FROM hits")
 _put("ft_function", _function, f", {_bm25(['shard', 'token'], 'v_code_docs')} SELECT doc_id AS blob_id, score FROM hits")
 
 # --- joins ------------------------------------------------------------------------------------------------------------

@@ -54,6 +54,8 @@ def test_like_quirks(engine):
     assert got(engine, r"type:commit fix\bug", "message") == []
     assert got(engine, "type:commit author:ALICE case:yes", "author") == []
     assert got(engine, "type:commit author:nobody before:never", "author") == []
+    assert got(engine, "type:commit case:yes fix_bug", "message") == [("fix bug in parser",)]
+    assert got(engine, "type:commit case:yes fix[bug]", "message") == [] and got(engine, "type:commit case:yes Fix", "message") == []
 
 
 def test_sql_and_functions(engine):
@@ -185,6 +187,15 @@ def test_cancel(spark, engine):
     assert failed
 
 
+def test_searches_cut_snippets_after_the_limit(engine):
+    """No nested loop in searches, and texts are joined with the few rows that are left only."""
+    for e in (engine, engine.with_indexes("code")):
+        for df in (e.search("count:2 helper"), e.search("helper OR parse"), e.sql("SELECT * FROM code_search('helper main')")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert [(r.blob_id, r.snippet) for r in e.sql("SELECT * FROM code_search('helper main')").collect()] == [(1, "helper()")]
+
+
 def test_plans_prune_and_push_down(spark, tmp_path):
     """Metadata searches read only their columns and push their filters into the scan; top-k is no full sort."""
     rows = [(i, i % 3, f"h{i}", "ann" if i % 2 else "bob", "m", i) for i in range(50)]
