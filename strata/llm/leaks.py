@@ -23,7 +23,7 @@ SPAN = 12
 #: Positions of the window that each mask reads.
 MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
 #: Bits of the filter over the items' hashes for each of them, and as powers of two the fewest and most it may have: 64 megabytes.
-FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 16, 29
+FILTER_SHARE, LEAST_BITS, MOST_BITS = 256, 24, 29
 #: Words around a passage that are compared too.
 MARGIN = SPAN
 _WORD = re.compile(r"[^\W_]+")
@@ -177,7 +177,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     the longest common run of words, and the longest overlap with substitutions and how many it has.
 
     Null texts, texts of under twelve words and rows without an id share none. The documents are read once by a map that finds
-    their passages by a filter of the items' seeds, sized by their number up to 64 megabytes; beyond some 30 million seeds it
+    their passages by a filter of the items' seeds, sized by their number up to 64 megabytes; beyond some 2 million seeds it
     sorts out less, and the join still decides. Only passages, not texts, leave that map; their narrow seeds are joined with
     the items' by hash (broadcast only if estimated small, else a shuffle that adaptive execution splits where an item has
     leaked widely), and then the passages that have an item are compared.
