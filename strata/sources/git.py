@@ -112,26 +112,53 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GitSource)
 
 
+def _files(path: str, commit: str) -> Iterator[tuple[str, str]]:
+    for rec in git(path, "ls-tree", "-r", "-z", "--full-tree", commit).split(b"\0"):
+        if rec:
+            head, _, name = rec.partition(b"\t")
+            mode, kind, oid = head.split()
+            if kind == b"blob" and mode != b"120000":
+                yield name.decode("utf-8", "replace"), oid.decode()
+
+
 def trees(commits: DataFrame, path: str) -> DataFrame:
     """(commit_hash, path, object_id) of all files in the trees of commits (commit_hash); links and submodules are no files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cs, ps, os_ = [], [], []
-            for h in b.column("commit_hash").to_pylist():
-                for rec in git(path, "ls-tree", "-r", "-z", "--full-tree", h).split(b"\0"):
-                    if rec:
-                        head, _, name = rec.partition(b"\t")
-                        mode, kind, oid = head.split()
-                        if kind == b"blob" and mode != b"120000":
-                            cs.append(h)
-                            ps.append(name.decode("utf-8", "replace"))
-                            os_.append(oid.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.string()), pa.array(ps, pa.string()), pa.array(os_, pa.string())], names=["commit_hash", "path", "object_id"])
+            rows = [(h, *f) for h in b.column("commit_hash").to_pylist() for f in _files(path, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["commit_hash", "path", "object_id"])
 
     return commits.select("commit_hash").mapInArrow(run, "commit_hash string, path string, object_id string")
 
 
+def changes(commits: DataFrame, path: str) -> DataFrame:
+    """(commit, path, old_blob_id, new_blob_id) of the files in which commits (hash, parent) differ from their parent, links and submodules
+    left out; of a commit without one all files are added. git compares the trees, so that what is equal is never listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            pairs = list(zip(b.column("hash").to_pylist(), b.column("parent").to_pylist()))
+            for h in (h for h, p in pairs if p is None):
+                rows += [(h, name, None, oid) for name, oid in _files(path, h)]
+            ask = "".join(f"{h} {p}\n" for h, p in pairs if p is not None)
+            fields = iter(git(path, "diff-tree", "-r", "-z", "--no-renames", "--stdin", data=ask.encode()).split(b"\0")) if ask else iter(())
+            commit = ""
+            for head in fields:
+                if not head.startswith(b":"):
+                    commit = head.decode()
+                    continue
+                old_mode, new_mode, old, new, _ = head[1:].split(b" ")
+                name = next(fields).decode("utf-8", "replace")
+                ids = [oid.decode() if mode in (b"100644", b"100755", b"100664") else None for mode, oid in ((old_mode, old), (new_mode, new))]
+                if ids[0] != ids[1]:
+                    rows.append((commit, name, *ids))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["commit", "path", "old_blob_id", "new_blob_id"])
+
+    return commits.select("hash", "parent").mapInArrow(run, "commit string, path string, old_blob_id string, new_blob_id string")
+
+
 def blobs(objects: DataFrame, path: str) -> DataFrame:
     """(object_id, content) of objects (object_id): content is null where it isn't valid UTF-8 or can't be read."""
 

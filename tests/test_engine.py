@@ -134,6 +134,21 @@ def test_index_a_repository(spark, tmp_path):
     assert {r.symbol_name for r in e.search("calls:f").collect()} == {"hello"}
     assert e.search("type:diff bin").count() == 2
     assert unreferenced_file_revs(e.tables).count() >= 1
+    # a second repository: no file of the first is written again or left out
+    other = tmp_path / "other"
+    subprocess.run(["git", "clone", "-q", str(src), str(other)], check=True, capture_output=True)
+    from strata.sources.store import Store
+
+    before = Store(spark, root).manifest()
+    assert index_repo(spark, root, f"file://{other}").new_commits == 3
+    after = Store(spark, root).manifest()
+    assert all(set(before[t]) <= set(after[t]) for t in before)
+    assert index_repo(spark, root, url).new_commits == 0
+    last = Store(spark, root).manifest()
+    mine = lambda m, t: {p for p in m[t] if p in before[t]}
+    assert mine(last, "refs") == set() and len(last["refs"]) == len(after["refs"]) == 2 and len(last["repos"]) == 2
+    e = Engine.open(spark, root)
+    assert e.tables["repos"].count() == 2 and e.tables["commits"].count() == 6 and e.tables["blobs"].where("parsed").count() >= 2
 
 
 def test_stream_merges_once(spark, tmp_path):
