@@ -104,6 +104,22 @@ def test_innermost_span(spark):
     assert {r.symbol_id: r.container_id for r in intervals.nesting(spans).collect()} == {2: 1, 3: 2}
 
 
+def test_innermost_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    spans = [(i, r.randint(1, 2), *(a := sorted((r.randint(0, 90), r.randint(0, 9)) for _ in range(2)))[0], *a[1]) for i in range(120)] + [(900, 1, None, 1, 5, 1), (901, 1, 3, 1, None, 1)]
+    points = [(i, r.randint(1, 3), r.randint(0, 95), r.randint(0, 9)) for i in range(300)] + [(999, 1, None, 1)]
+    want = {}
+    for i, b, line, col in points:
+        around = [(s[2], s[3], -s[4], s[0]) for s in spans if s[1] == b and line is not None and None not in s and (s[2], s[3]) <= (line, col) < (s[4], s[5])]
+        if around:
+            want[i] = max(around)[3]
+    sp = spark.createDataFrame(spans, "id long, blob_id long, line int, col int, end_line int, end_col int")
+    pt = spark.createDataFrame(points, "id long, blob_id long, line int, col int")
+    assert {x.ref_id: x.symbol_id for x in intervals.innermost(pt, sp).collect()} == want and len(want) > 100
+
+
 @pytest.mark.parametrize("table", ["commits", "refs"])
 def test_empty_tables(spark, table):
     from strata import model
