@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType, TimestampType
 
 from strata.operators import dataflow
 from strata.runtime import scratch
@@ -54,7 +54,7 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
-WINDOWS = StructType.fromDDL("window_start timestamp, event_type string, n long, total double")
+WINDOWS = StructType().add("window_start", TimestampType()).add("event_type", StringType()).add("n", LongType()).add("total", DoubleType())
 
 
 def stream_windows(spark: SparkSession, folder: str, schema: StructType, target: str, checkpoint: str, per_batch: int = 1000, late: str = "10 minutes") -> DataFrame:

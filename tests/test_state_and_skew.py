@@ -125,3 +125,13 @@ def test_empty_tables(spark, table):
     from strata import model
 
     assert dataflow.insert_or_ignore(model.empty(spark, table), model.empty(spark, table), ["repo_id"]).count() == 0
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
