@@ -1,7 +1,7 @@
 """Operator: template residue and error-page text.
 
 Character trigram models are fitted of filler, of error notices and of unfilled placeholders, on the samples below, and of
-natural prose, on a sample of the corpus. Each sentence is scored by windows of the log-likelihood ratio of a residue model
+natural prose, on the whole corpus. Each sentence is scored by windows of the log-likelihood ratio of a residue model
 and the natural one; windows above a threshold localise residue, and a sentence is residue where they cover at least half of
 it. Placeholders stand inside natural sentences, so that one window of the outline, in which each word is one letter, is
 enough for them. What is fenced or quoted is mentioned, not used, and is taken out first.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.runtime import cut
+from strata.runtime import stored
 
 #: Samples of residue that the models are fitted on, and of prose that speaks of such things, which the natural model learns beside the corpus.
 SAMPLES = {
@@ -74,8 +75,6 @@ SAMPLES = {
 WEIGHT = 20
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 16
-#: Different texts, at most about, that the natural model is fitted on: those of the least hashes.
-SAMPLE_TEXTS = 20_000
 #: Rounds in which the natural model is fitted.
 ROUNDS = 3
 #: Share of a sentence that windows of a residue model must cover.
@@ -158,13 +157,22 @@ def sentences(plain: str) -> list[str]:
 #: Words that ask for something to be filled in; an outline shows them as one mark of their own (fixed values).
 _ASKS = re.compile(r"(?i)(?<![^\W_])(?:your|insert|enter|todo|fixme|tbd|fill)(?![^\W_])")
 
+
+def _asked(text: str) -> str:
+    """The text with one mark for each word of _ASKS. Most sentences have none, which is seen faster without the expression."""
+    low = text.lower()
+    if text.isascii() and not ("your" in low or "insert" in low or "enter" in low or "todo" in low or "fixme" in low or "tbd" in low or "fill" in low):
+        return text
+    return _ASKS.sub("¥", text)
+
+
 #: Zeros between two sentences that are laid end to end: no window reaches over them.
 _GAP = "\0" * (max(v.window for v in VIEWS) + 2)
 
 
 @dataclass
 class Laid:
-    """Sentences laid end to end, as seen by one kind of view: bucket of each trigram, begin and end of each sentence's trigrams."""
+    """Sentences laid end to end, as seen by one kind of view: bucket of each trigram (BUCKETS outside of sentences), begin and end of each sentence's trigrams."""
 
     buckets: np.ndarray
     begin: np.ndarray
@@ -172,42 +180,35 @@ class Laid:
 
 
 def lay(parts: list[str], outline: bool) -> Laid:
-    x = _codes("".join(f"\n{_ASKS.sub('¥', p) if outline else p.lower()}\n{_GAP}" for p in parts))
+    x = _codes("".join(f"\n{_asked(p) if outline else p.lower()}\n{_GAP}" for p in parts))
     if outline:
         x = _outline(x)
     void = x == 0
     begin = np.flatnonzero(np.concatenate([[True], void[:-1]]) & ~void) if len(x) else np.empty(0, np.int64)
     stop = np.flatnonzero(~void & np.concatenate([void[1:], [True]])) if len(x) else np.empty(0, np.int64)
-    return Laid(_buckets(x), begin, np.maximum(stop - 1, begin))
+    buckets = _buckets(x)
+    buckets[void[:-2] | void[1:-1] | void[2:]] = BUCKETS
+    return Laid(buckets, begin, np.maximum(stop - 1, begin))
 
 
 def covered(at: Laid, ratio: np.ndarray, v: View) -> tuple[np.ndarray, np.ndarray]:
     """(trigrams under residue windows, trigrams) of each sentence."""
     size = at.end - at.begin
-    s = ratio[at.buckets].astype(np.float64)
-    inside = np.zeros(len(s) + 1, np.int8)
-    np.add.at(inside, at.begin, 1)
-    np.add.at(inside, at.end, -1)
-    s[np.cumsum(inside)[:-1] == 0] = -1e4
-    total = np.concatenate([[0.0], np.cumsum(s)])
-    under = np.zeros(len(s) + 1, np.int32)
-    if len(s) >= v.window:
+    total = np.concatenate([[0.0], np.cumsum(np.append(ratio, -1e4)[at.buckets])])
+    n = np.zeros(len(size), np.int64)
+    if len(at.buckets) >= v.window:
         over = np.flatnonzero(total[v.window :] - total[: -v.window] > v.least * v.window)
-        np.add.at(under, over, 1)
-        np.add.at(under, over + v.window, -1)
-    seen = np.concatenate([[0], np.cumsum(np.cumsum(under)[:-1] > 0)])
-    n = seen[at.end] - seen[at.begin]
+        # of windows that overlap each adds what the one before leaves; none reaches over a gap
+        np.add.at(n, np.searchsorted(at.begin, over, "right") - 1, np.minimum(np.diff(over, prepend=-v.window), v.window))
     short = size < v.window
     return np.where(short, np.where(total[at.end] - total[at.begin] > v.short, size, 0), n), size
 
 
-def count(parts: list[str], outline: bool) -> np.ndarray:
-    """Trigrams of the sentences in each bucket."""
+def count(parts: list[str], outline: bool, weight: list[int] | None = None) -> np.ndarray:
+    """Trigrams of the sentences in each bucket, each as often as its sentence weighs."""
     at = lay(parts, outline)
-    real = np.zeros(len(at.buckets) + 1, np.int8)
-    np.add.at(real, at.begin, 1)
-    np.add.at(real, at.end, -1)
-    return np.bincount(at.buckets[np.cumsum(real)[:-1] > 0], minlength=BUCKETS)
+    real = at.buckets[at.buckets < BUCKETS]
+    return np.bincount(real, None if weight is None else np.repeat(weight, at.end - at.begin), BUCKETS).astype(np.int64)
 
 
 @functools.cache
@@ -259,44 +260,50 @@ def residue_sentences(n: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        parts = dict.fromkeys(p for t in b.column("text").to_pylist() for p in sentences(used(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string())], names=["sentence"])
+        n = Counter(p for t in b.column("text").to_pylist() for p in dict.fromkeys(sentences(used(t))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["sentence", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch], ratio: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Trigrams of the sentences that ratio calls residue, or of all."""
     n = np.zeros((2, BUCKETS), np.int64)
     for b in batches:
         for at in range(0, b.num_rows, 2_000):
             part = b.slice(at, 2_000)
-            good, weight = part.column("sentence").to_pylist(), part.column("weight").to_pylist()
-            bad = residue_sentences(*score_sentences(good, ratio)).any(0) if ratio is not None else [False] * len(good)
-            good = [p for p, w, x in zip(good, weight, bad) if not x for _ in range(w)]
-            for k in (0, 1):
-                n[k] += count(good, bool(k))
+            parts, weight = part.column("sentence").to_pylist(), part.column("weight").to_pylist()
+            if ratio is not None:
+                bad = np.flatnonzero(residue_sentences(*score_sentences(parts, ratio)).any(0)).tolist()
+                parts, weight = [parts[i] for i in bad], [weight[i] for i in bad]
+            if parts:
+                for k in (0, 1):
+                    n[k] += count(parts, bool(k), weight)
     flat = n.reshape(-1)
     hit = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(flat[hit], pa.int64())], names=["bucket", "n"])
 
 
-def fit(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:
-    """The models, the natural one fitted on the different sentences of about sample_texts different texts of docs (text), or of all if there are no more.
+def fit(docs: DataFrame) -> np.ndarray:
+    """The models, the natural one fitted on the different sentences of all different texts of docs (text).
 
-    Texts are taken by their hash, so that a text's copies weigh as one wherever they lie; n copies of a sentence
-    weigh 1 + log2(n). Each round
-    reads the sample only and sends at most 2 * BUCKETS counts to the driver.
+    A text's copies weigh as one wherever they lie; a sentence of n different texts weighs 1 + log2(n), rounded down. The
+    sentences are stored once in the shared folder while the rounds read them. The first round counts all of them, each later
+    one those that the models of the last round call residue, which are then taken off; a round sends at most 2 * BUCKETS
+    counts to the driver.
     """
-    share = min(1.0, sample_texts / max(docs.count(), 1))
-    h = F.xxhash64("text")
-    few = docs.select("text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    few = few.groupBy("h").agg(F.first("text").alias("text")).select("text")
-    few = few.mapInArrow(_split, "sentence string").groupBy("sentence").agg((1 + F.floor(F.log2(F.count(F.lit(1))))).cast("int").alias("weight"))
-    few = cut(few)
-    ratio = None
-    for _ in range(ROUNDS):
-        out = np.zeros(2 * BUCKETS)
-        for r in few.mapInArrow(functools.partial(_count, ratio=ratio), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-            out[r["bucket"]] = r["n"]
-        ratio = model(out.reshape(2, BUCKETS))
+    spark = docs.sparkSession
+    every = docs.select("text").distinct().mapInArrow(_split, "sentence string, n long").groupBy("sentence").agg(F.length(F.bin(F.sum("n"))).alias("weight"))
+    with stored(spark, every, "sentences") as kept:
+
+        def counts(ratio: np.ndarray | None) -> np.ndarray:
+            out = np.zeros(2 * BUCKETS)
+            for r in kept.mapInArrow(functools.partial(_count, ratio=ratio), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+                out[r["bucket"]] = r["n"]
+            return out.reshape(2, BUCKETS)
+
+        whole = counts(None)
+        ratio = model(whole)
+        for _ in range(ROUNDS - 1):
+            ratio = model(whole - counts(ratio))
     return ratio
 
 
@@ -325,8 +332,8 @@ def find_residue(docs: DataFrame, least_coverage: float = 0.0) -> DataFrame:
     A text is residue if a sentence of it is: one that windows of the filler or notice model cover by half or more, or one
     with a window of the placeholder model; texts that are program code are left out. coverage is the share of the text under the windows of its residue
     sentences, reason the kind that covers most; least_coverage leaves out texts of which less is covered. Null, empty and
-    blank texts have no residue. Repeated rows give one row. No text is shuffled but those of the bounded sample that the
-    natural model is fitted on.
+    blank texts have no residue. Repeated rows give one row. Texts are shuffled once to find the different ones, and their
+    sentences once, for the natural model; the verdicts shuffle none.
     """
     texts = docs.where("text IS NOT NULL AND trim(text) <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text").where("text IS NOT NULL")))

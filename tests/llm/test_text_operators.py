@@ -321,6 +321,20 @@ def test_many_copies_of_residue_stay_residue(spark):
     assert got == {*range(1000, 1100), *range(2000, 2100)}
 
 
+def test_the_natural_model_counts_every_text(spark):
+    """Beyond the 20,000 texts that were once sampled, and however rows lie in partitions."""
+    rows = [(f"Stage {i} of the build. {w} the notes.",) for i in range(15_000) for w in ("Read", "Close")] + [("Text goes here.",)] * 50
+    known = {f"Stage {i} of the build": 2 for i in range(15_000)} | {"Read the notes": 15_000, "Close the notes": 15_000, "Text goes here": 1}
+    parts = [p for p, n in known.items() for _ in range(n.bit_length())]
+    want = residue.model(np.array([residue.count(parts, o) for o in (False, True)]))
+    for _ in range(residue.ROUNDS - 1):
+        bad = residue.residue_sentences(*residue.score_sentences(parts, want)).any(0)
+        assert [p for p, x in zip(parts, bad) if x] == ["Text goes here"]
+        want = residue.model(np.array([residue.count([p for p, x in zip(parts, bad) if not x], o) for o in (False, True)]))
+    df = spark.createDataFrame(rows, "text string")
+    assert (residue.fit(df.coalesce(1)) == want).all() and (residue.fit(df.repartition(7)) == want).all()
+
+
 def test_scores_don_t_depend_on_the_batch():
     ratio = residue.model(np.full((2, residue.BUCKETS), 3.0))
     texts = ["Lorem ipsum dolor sit amet consectetur", PROSE[0], "", "x", "a\0b {name} c", "Ünïcode 𝔘 {x_y} __A_B__", "404 Not Found", "..."] * 3
