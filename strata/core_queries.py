@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +18,31 @@ def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return H.clean_edges(table(spark, d, "commit_parents"), "commit_id", "parent_id"), H.clean_edges(table(spark, d, "symbols"), "id", "parent_id")
 
 
-def _joint(spark: SparkSession, d: str) -> DataFrame:
-    """Both graphs as one, so that each round costs one job: node ids doubled, symbols odd."""
+def _over_graphs(spark: SparkSession, d: str, walk: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """walk over both graphs, its rows with the graph they are of.
+
+    Both are walked as one graph, so that each round costs one job: node ids doubled, symbols odd. Where an id is too far
+    from zero to be doubled, as hashes are, each graph is walked by itself.
+    """
     c, s = _edges(spark, d)
-    return c.select(F.col("child") * 2, F.col("parent") * 2).union(s.select(F.col("child") * 2 + 1, F.col("parent") * 2 + 1)).toDF("child", "parent")
+    ends = c.union(s).agg(F.min(F.least("child", "parent")).alias("low"), F.max(F.greatest("child", "parent")).alias("high")).first()
+    if ends["low"] is not None and not -(1 << 62) <= ends["low"] <= ends["high"] < 1 << 62:
+        return walk(c).withColumn("graph", F.lit("commit")).unionByName(walk(s).withColumn("graph", F.lit("symbol")))
+    out = walk(c.select(F.col("child") * 2, F.col("parent") * 2).union(s.select(F.col("child") * 2 + 1, F.col("parent") * 2 + 1)).toDF("child", "parent"))
+    graph = F.when(F.col("node") % 2 == 0, "commit").otherwise("symbol").alias("graph")
+    half = lambda c: F.shiftright(c, 1).alias(c) if c in ("node", "below_node", "loop", "root") else F.transform(c, lambda x: F.shiftright(x, 1)).alias(c) if c in ("path", "back_edges") else c
+    return out.select(graph, *map(half, out.columns))
 
 
-def _split(df: DataFrame) -> DataFrame:
-    return df.withColumn("graph", F.when(F.col("node") % 2 == 0, "commit").otherwise("symbol"))
+def _without_links(spark: SparkSession, d: str, *columns: tuple[str, str, str]) -> DataFrame:
+    """(graph, node_id) of the ids in columns (graph, table, column) that are in no link of their graph."""
+    ids = reduce(DataFrame.union, [table(spark, d, t).select(F.lit(graph).alias("graph"), F.col(c).cast("long").alias("node_id")) for graph, t, c in columns]).where("node_id IS NOT NULL").distinct()
+    linked = reduce(DataFrame.union, [e.select(F.lit(graph).alias("graph"), F.col(c).alias("node_id")) for graph, e in zip(("commit", "symbol"), _edges(spark, d)) for c in ("child", "parent")])
+    return ids.join(linked, ["graph", "node_id"], "left_anti")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _split(H.loop_nodes(_joint(spark, d))).select("graph", F.shiftright("node", 1).alias("node_id"))
+    return _over_graphs(spark, d, H.loop_nodes).select("graph", F.col("node").alias("node_id"))
 
 
 P1_FOUND_SQL = """
@@ -40,10 +56,9 @@ SELECT graph, id AS node_id FROM r WHERE top = id
 
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     """All that is known of every node. descendants counts over all parent links; tree_descendants, like root, depth, path, pre and post, over the smallest parents."""
-    half = lambda c: F.shiftright(c, 1).alias(c)
-    line = lambda c, mark: F.array_join(F.transform(c, lambda x: F.shiftright(x, 1).cast("string")), mark).alias(c)
-    out = _split(H.full_paths(cut(H.hierarchy(_joint(spark, d)))))
-    return out.select("graph", F.shiftright("node", 1).alias("node_id"), half("loop"), half("root"), F.col("depth").cast("long").alias("depth"), line("path", "/"), "pre", "post", F.col("below").alias("descendants"), F.col("descendants").alias("tree_descendants"), line("back_edges", ","))
+    line = lambda c, mark: F.array_join(F.col(c).cast("array<string>"), mark).alias(c)
+    out = _over_graphs(spark, d, lambda e: H.full_paths(cut(H.hierarchy(e))))
+    return out.select("graph", F.col("node").alias("node_id"), "loop", "root", F.col("depth").cast("long").alias("depth"), line("path", "/"), "pre", "post", F.col("below").alias("descendants"), F.col("descendants").alias("tree_descendants"), line("back_edges", ","))
 
 
 P1_NODES_SQL = """
@@ -67,10 +82,26 @@ FROM n LEFT JOIN s ON s.graph = n.graph AND s.id = n.id LEFT JOIN o ON o.graph =
 """
 
 
+def p1_every(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p1_nodes, and one for each commit and symbol without a link: a root with nothing under it."""
+    alone = _without_links(spark, d, ("commit", "commits", "id"), ("commit", "commit_parents", "commit_id"), ("commit", "commit_parents", "parent_id"), ("symbol", "symbols", "id"), ("symbol", "symbols", "parent_id"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    return p1_nodes(spark, d).union(alone.select("graph", "node_id", none, "node_id", zero, F.col("node_id").cast("string"), zero, zero, zero, zero, F.lit("")))
+
+
+P1_EVERY_SQL = P1_NODES_SQL.replace(
+    "UNION SELECT graph, parent FROM e),",
+    """UNION SELECT graph, parent FROM e UNION SELECT 'commit', id FROM commits WHERE id IS NOT NULL UNION SELECT 'commit', commit_id FROM commit_parents WHERE commit_id IS NOT NULL
+      UNION SELECT 'commit', parent_id FROM commit_parents WHERE parent_id IS NOT NULL UNION SELECT 'symbol', id FROM symbols WHERE id IS NOT NULL UNION SELECT 'symbol', parent_id FROM symbols WHERE parent_id IS NOT NULL),""",
+)
+
+
 def p1_depth(spark: SparkSession, d: str) -> DataFrame:
     """Root, depth and descendants, all in the tree of smallest parents, of every node that has a root there; p1_descendants follows all parents."""
-    out = _split(H.hierarchy(_joint(spark, d))).where("root IS NOT NULL")
-    return out.select("graph", F.shiftright("node", 1).alias("node_id"), F.shiftright("root", 1).alias("root"), F.col("depth").cast("long").alias("depth"), F.col("descendants").cast("long").alias("descendants"))
+    out = _over_graphs(spark, d, H.hierarchy).where("root IS NOT NULL")
+    # a parent whose only child is null is a root all the same
+    alone = _without_links(spark, d, ("commit", "commit_parents", "parent_id"), ("symbol", "symbols", "parent_id")).select("graph", "node_id", "node_id", F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return out.select("graph", F.col("node").alias("node_id"), "root", F.col("depth").cast("long").alias("depth"), F.col("descendants").cast("long").alias("descendants")).union(alone)
 
 
 P1_DEPTH_SQL = """
@@ -88,8 +119,8 @@ FROM t a JOIN (SELECT graph, id, unnest(path) AS above FROM t) b ON b.graph = a.
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """For every node, on loops or not, the number of other nodes that reach it over any of their parents."""
-    return _split(H.hierarchy(_joint(spark, d))).select("graph", F.shiftright("node", 1).alias("node_id"), F.col("below").alias("descendants"))
+    """For every node of a link, on loops or not, the number of other nodes that reach it over any of their parents. p1_every has the commits and symbols without a link too, p1_pairs the descendants themselves."""
+    return _over_graphs(spark, d, H.hierarchy).select("graph", F.col("node").alias("node_id"), F.col("below").alias("descendants"))
 
 
 P1_DESCENDANTS_SQL = """
@@ -102,6 +133,20 @@ SELECT n.graph, n.id AS node_id, count(r.id) AS descendants FROM n LEFT JOIN r O
 """
 
 
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with each other node that reaches it over any of their parents, on loops or not."""
+    return _over_graphs(spark, d, H.all_descendants).select("graph", F.col("node").alias("node_id"), F.col("below_node").alias("descendant_id"))
+
+
+P1_PAIRS_SQL = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'commit' AS graph, commit_id AS child, parent_id AS parent FROM commit_parents WHERE commit_id IS NOT NULL AND parent_id IS NOT NULL
+  UNION SELECT 'symbol', id, parent_id FROM symbols WHERE id IS NOT NULL AND parent_id IS NOT NULL),
+r AS (SELECT graph, parent AS top, child AS id FROM e UNION SELECT r.graph, r.top, e.child FROM r JOIN e ON e.graph = r.graph AND e.parent = r.id)
+SELECT graph, top AS node_id, id AS descendant_id FROM r WHERE id <> top
+"""
+
+
 def _state(spark: SparkSession, d: str) -> I.StateStore:
     """A state store whose first version is what the succeeded runs have written."""
     store = I.StateStore(spark, scratch(spark, "state"))
@@ -178,5 +223,5 @@ def p5_calls(spark: SparkSession, d: str) -> DataFrame:
 
 P5_CALLS_SQL = "SELECT ref_name, count(*) AS n_refs, min(id) AS first_id, count(DISTINCT blob_id) AS n_blobs FROM symbol_refs GROUP BY ref_name"
 
-QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_after": p2_after, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_nodes": P1_NODES_SQL, "p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p2_found": P2_FOUND_SQL, "p2_after": P2_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_depth": p1_depth, "p1_descendants": p1_descendants, "p1_every": p1_every, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_after": p2_after, "p5_found": p5_found, "p5_latest": p5_latest, "p5_calls": p5_calls}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_nodes": P1_NODES_SQL, "p1_depth": P1_DEPTH_SQL, "p1_descendants": P1_DESCENDANTS_SQL, "p1_every": P1_EVERY_SQL, "p1_pairs": P1_PAIRS_SQL, "p2_found": P2_FOUND_SQL, "p2_after": P2_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_latest": P5_LATEST_SQL, "p5_calls": P5_CALLS_SQL}

@@ -547,6 +547,26 @@ def full_paths(rows: DataFrame) -> DataFrame:
     return rows.join(top, "path_anchor", "left").withColumn("path", F.concat(F.coalesce("p2", F.array().cast("array<long>")), "path")).drop("p2", "path_anchor")
 
 
+def all_descendants(edges: DataFrame) -> DataFrame:
+    """(node, below_node) for every node and each other node below it, over all parents, on loops too. What comes out has as many rows as all nodes together have descendants.
+
+    Ways of 1, 2, 4, ... links are doubled, and those of fewer links lengthened by them, so that rounds are logarithmic in
+    the depth; the rounds end when there is no longer way or it brings nothing new.
+    """
+    longer = _fresh(edges.select(F.col("parent").alias("node"), F.col("child").alias("below_node")).distinct())
+    seen, size, last = longer, longer.count(), -1
+    while size != last:
+        on = longer.select(F.col("node").alias("mid"), F.col("below_node").alias("end"))
+        longer = _fresh(longer.join(on, F.col("below_node") == F.col("mid")).select("node", F.col("end").alias("below_node")).distinct())
+        if not longer.limit(1).count():
+            break
+        on = longer.select(F.col("node").alias("mid"), F.col("below_node").alias("end"))
+        more = seen.join(on, F.col("below_node") == F.col("mid")).select("node", F.col("end").alias("below_node"))
+        seen = _fresh(seen.union(longer).union(more).distinct())
+        size, last = seen.count(), size
+    return seen.where("node <> below_node")
+
+
 def descendants_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node) for every node below each of starts (node), over all parents, by frontier joins; loops end a branch."""
     seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())

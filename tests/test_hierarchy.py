@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from strata import core_queries
 from strata.operators import hierarchy as H
 
 
@@ -158,3 +159,57 @@ def test_below_follows_all_parents(spark, monkeypatch, bound):
         for x in seen - {s}:
             want[x] += 1
     assert {x.node: x.below for x in H.hierarchy(frame(spark, edges), max_component=bound).collect()} == want
+
+
+def tables(spark, d, commits, commit_parents, symbols):
+    for name, rows, schema in (("commits", commits, "id long"), ("commit_parents", commit_parents, "commit_id long, parent_id long"), ("symbols", symbols, "id long, parent_id long")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    return str(d)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_every_commit_and_symbol_comes_out(spark, tmp_path):
+    """Those without a link too, and all descendants by name."""
+    d = tables(spark, tmp_path, [(1,), (2,), (2,), (9,), (None,)], [(2, 1), (2, 1), (3, 2), (3, 1), (4, None), (None, 5)], [(1, None), (2, 1), (7, None), (8, 8), (6, 8)])
+    place = ("loop", "root", "depth", "path", "pre", "post", "descendants", "tree_descendants", "back_edges")
+    got = {(r.graph, r.node_id): tuple(r[c] for c in place) for r in core_queries.p1_every(spark, d).collect()}
+    alone = {("commit", 4), ("commit", 5), ("commit", 9), ("symbol", 7)}
+    assert set(got) == alone | {("commit", 1), ("commit", 2), ("commit", 3), ("symbol", 1), ("symbol", 2), ("symbol", 6), ("symbol", 8)}
+    assert all(got[g, n] == (None, n, 0, str(n), 0, 0, 0, 0, "") for g, n in alone)
+    assert got["commit", 3] == (None, 1, 1, "1/3", 2, 2, 0, 0, "") and got["commit", 1][6] == 2 and got["symbol", 8] == (8, None, None, None, None, None, 1, None, "8")
+    assert rows_of(core_queries.p1_nodes(spark, d)) == [r for r in rows_of(core_queries.p1_every(spark, d)) if r[:2] not in alone]
+    assert rows_of(core_queries.p1_pairs(spark, d)) == [("commit", 1, 2), ("commit", 1, 3), ("commit", 2, 3), ("symbol", 1, 2), ("symbol", 8, 6)]
+    assert ("commit", 5, 5, 0, 0) in rows_of(core_queries.p1_depth(spark, d))
+
+
+def test_ids_of_all_longs(spark, tmp_path):
+    """Ids that are hashes lie anywhere among the longs, too far from zero to be doubled."""
+    top, low = 2**63 - 1, -(2**63)
+    d = tables(spark, tmp_path, [(top,)], [(2**62, top), (top, low), (5, 5), (2**62, 3)], [(top, 2**62), (2**62, top), (4, low)])
+    assert rows_of(core_queries.p1_found(spark, d)) == [("commit", 5), ("symbol", 2**62), ("symbol", top)]
+    assert {(g, n): k for g, n, k in rows_of(core_queries.p1_descendants(spark, d))} == {("commit", 2**62): 0, ("commit", top): 1, ("commit", low): 2, ("commit", 5): 0, ("commit", 3): 1, ("symbol", top): 1, ("symbol", 2**62): 1, ("symbol", 4): 0, ("symbol", low): 1}
+    assert {(r.graph, r.node_id): (r.loop, r.root, r.path) for r in core_queries.p1_nodes(spark, d).collect()}["commit", top] == (None, low, f"{low}/{top}")
+    assert len(rows_of(core_queries.p1_depth(spark, d))) == 6
+    assert rows_of(core_queries.p1_pairs(spark, d)) == sorted([("commit", top, 2**62), ("commit", low, top), ("commit", low, 2**62), ("commit", 3, 2**62), ("symbol", 2**62, top), ("symbol", top, 2**62), ("symbol", low, 4)], key=str)
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_all_descendants(spark, name):
+    edges = [e for e in CASES[name] if None not in e]
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    want = set()
+    for s in up:
+        seen, todo = set(), list(up[s])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += up.get(x, ())
+        want |= {(x, s) for x in seen - {s}}
+    got = [tuple(r) for r in H.all_descendants(frame(spark, CASES[name])).collect()]
+    assert len(got) == len(want) and set(got) == want
