@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -567,6 +568,116 @@ def all_descendants(edges: DataFrame) -> DataFrame:
     return seen.where("node <> below_node")
 
 
+#: Edges of whole components that are climbed together.
+CLIMBED = 50_000
+#: Rows that a climb hands out at once.
+CLIMB_ROWS = 50_000
+
+
+def climb(child: np.ndarray, unnamed: np.ndarray, parent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (node, above, lvl) of whole components: for each edge a node climbs over, on each of its ways, the end and the number of edges before.
+
+    A way ends before a node it holds already; equal edges make ways of their own. Where unnamed, child is null: such an edge begins
+    ways, but leads none on.
+    """
+    nodes, at = np.unique(np.concatenate([child[~unnamed], parent]), return_inverse=True)
+    n, p = len(nodes), at[len(at) - len(parent) :]
+    c = np.empty(len(parent), np.int64)
+    c[~unnamed], c[unnamed] = at[: len(at) - len(parent)], n + np.arange(unnamed.sum())
+    names = np.concatenate([nodes, np.zeros(unnamed.sum(), np.int64)])
+    order = np.argsort(c, kind="stable")
+    begin, ups = np.searchsorted(c[order], np.arange(len(names) + 1)).tolist(), p[order].tolist()
+    out = node, above, lvl = array("q"), array("q"), array("q")
+
+    def batch() -> pa.RecordBatch:
+        x, y, z = (np.array(a) for a in out)
+        for a in out:
+            del a[:]
+        return pa.RecordBatch.from_arrays([pa.array(names[x], pa.int64(), mask=x >= n), pa.array(nodes[y], pa.int64()), pa.array(z, pa.int64())], names=["node", "above", "lvl"])
+
+    on = bytearray(len(names))
+    for start in np.unique(c).tolist():
+        way, nxt = [start], [begin[start]]
+        on[start] = 1
+        while way:
+            i, x = nxt[-1], way[-1]
+            if i == begin[x + 1]:
+                on[x] = 0
+                way.pop()
+                nxt.pop()
+                continue
+            nxt[-1] += 1
+            y = ups[i]
+            node.append(start)
+            above.append(y)
+            lvl.append(len(way) - 1)
+            if len(node) >= CLIMB_ROWS:
+                yield batch()
+            if begin[y] < begin[y + 1] and not on[y]:
+                on[y] = 1
+                way.append(y)
+                nxt.append(begin[y])
+    yield batch()
+
+
+def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by component: holds whole components of CLIMBED edges, or one larger one."""
+    held: list[pa.RecordBatch] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        if t := pa.Table.from_batches(held) if held else None:
+            yield from climb(t["child"].combine_chunks().fill_null(0).to_numpy(), t["child"].is_null().to_numpy(), t["parent"].to_numpy())
+        held.clear()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        comp = b.column("component").to_numpy()
+        # the last component of b may go on in the next batch
+        k = int(np.searchsorted(comp, comp[-1]))
+        if sum(x.num_rows for x in held) + k >= CLIMBED and (k or held[-1].column("component")[-1].as_py() != comp[-1]):
+            held.append(b.slice(0, k))
+            yield from rows()
+            b = b.slice(k)
+        held.append(b)
+    yield from rows()
+
+
+def climbed(edges: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """(node, above, lvl) of edges (child, parent): each node with the end of each edge on all its ways up, and the number of edges before it.
+
+    What a recursive query over the edges with UNION ALL gives: edges that occur several times count so, a way ends before a node it
+    holds already, an edge whose child is null begins ways too; edges without a parent have no row. What comes out has as many rows as the ways of all nodes have edges.
+    Components are co-located and climbed in a task; those above max_component by doubling: ways of up to 2k edges are ways of k followed by others.
+    """
+    edges = cut(edges.select("child", "parent").where("parent IS NOT NULL"))
+    comps = connected_components(edges.where("child IS NOT NULL")).toDF("parent", "component")
+    known = cut(edges.join(comps, "parent", "left").select(F.coalesce("component", "parent").alias("component"), "child", "parent"))
+    big = cut(known.groupBy("component").count().where(F.col("count") > max_component).select("component"))
+    large = big.count() > 0
+    small = known.join(big, "component", "left_anti") if large else known
+    # rows are many more than edges, and so the number of tasks doesn't follow the size of the edges
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = small.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(_climb, "node long, above long, lvl long")
+    return out.union(_climbed_by_doubling(_fresh(known.join(big, "component", "left_semi").select("child", "parent")), max_component)) if large else out
+
+
+def _climbed_by_doubling(edges: DataFrame, max_component: int) -> DataFrame:
+    """climbed of components too large for one task. Ways hold the nodes they meet on loops only, by which they end."""
+    loops = _distributed_loops(edges.where("child IS NOT NULL").distinct(), max_component).select(F.col("node").alias("child"), F.lit(True).alias("looped"))
+    met = F.when(F.col("looped"), F.array("child")).otherwise(F.array().cast("array<long>"))
+    longest = _fresh(edges.join(loops, "child", "left").select(F.col("child").alias("node"), F.col("parent").alias("above"), F.lit(0).cast("long").alias("lvl"), met.alias("met")))
+    parts, links = [longest], 1
+    while longest.limit(1).count():
+        on = reduce(DataFrame.union, parts).toDF("mid", "end", "lvl2", "met2")
+        longer = longest.join(on, F.col("above") == F.col("mid")).where(~F.arrays_overlap("met", "met2"))
+        longer = _fresh(longer.select("node", F.col("end").alias("above"), (F.col("lvl") + F.col("lvl2") + 1).alias("lvl"), F.concat("met", "met2").alias("met")))
+        parts.append(longer)
+        links *= 2
+        longest = longer.where(F.col("lvl") == links - 1)
+    return reduce(DataFrame.union, parts).select("node", "above", "lvl")
+
+
 def descendants_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node) for every node below each of starts (node), over all parents, by frontier joins; loops end a branch."""
     seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())

@@ -1,27 +1,34 @@
-"""What raw SQL over the tables must be able to do, one query for each operator, run through the engine's sql()."""
+"""What raw SQL over the tables must be able to do, one query for each operator, run through the engine's sql(), or by an operator that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata import model
 from strata.engine import Engine
+from strata.operators.hierarchy import climbed
 from strata.runtime import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: The text of each query for the engine's sql().
+TEXT: dict[str, str] = {}
 _TABLES = ("repos", "commits", "commit_parents", "refs", "blobs", "file_revs", "diffs", "symbols", "symbol_refs", "code_docs", "diff_docs")
 
 
-def _put(name: str, sql: str, duck: str | None = None, settings: dict[str, str] | None = None) -> None:
-    """sql names tables as {table}; duck is the text for DuckDB where it must differ; settings are set in the session before."""
+def _put(name: str, sql: str, duck: str | None = None, rows: Callable[[Engine], DataFrame] | None = None) -> None:
+    """sql names tables as {table}; duck is the text for DuckDB where it must differ; rows gives the rows of sql where sql itself can't over large tables."""
+    TEXT[name] = sql.format(**{t: t for t in _TABLES})
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        for k, v in (settings or {}).items():
-            spark.conf.set(k, v)
         e = Engine.over_corpus(spark, d)
+        if rows is not None:
+            return rows(e)
         table(spark, d, "events").createOrReplaceTempView("events")
-        return e.sql(sql.format(**{t: t for t in _TABLES}))
+        return e.sql(TEXT[name])
 
     QUERIES[name] = run
     body = (duck or sql).format(**{t: f"v_{t}" for t in _TABLES})
@@ -47,12 +54,18 @@ _put("r_scalar_subquery", "SELECT r.id, (SELECT count(*) FROM {commits} c WHERE
 _put("r_cte", "WITH n AS (SELECT repo_id, count(*) AS n FROM {commits} GROUP BY repo_id), m AS (SELECT avg(n) AS a FROM n) SELECT repo_id, n FROM n, m WHERE n > a")
 _UP = "SELECT up.id, s.parent_id AS above, up.lvl + 1 AS lvl, {add} AS path FROM up JOIN {{symbols}} s ON s.id = up.above WHERE NOT {has}"
 _RECURSIVE = "WITH RECURSIVE up(id, above, lvl, path) {deep}AS (SELECT id, parent_id, CAST(0 AS BIGINT), {one} FROM {{symbols}} WHERE parent_id IS NOT NULL UNION ALL " + _UP + ") SELECT id, above, lvl FROM up WHERE above IS NOT NULL"
-# every symbol with all symbols above it; a path that comes back to itself ends
+
+
+def _above(e: Engine) -> DataFrame:
+    return climbed(e.tables["symbols"].select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))).toDF("id", "above", "lvl")
+
+
+# every symbol with all symbols above it; a path that comes back to itself ends. Spark's recursion shuffles the whole table once for each level
 _put(
     "r_recursive",
     _RECURSIVE.format(deep="MAX RECURSION LEVEL 100000 ", one="array(id)", add="array_append(up.path, s.id)", has="array_contains(up.path, s.id)"),
     _RECURSIVE.format(deep="", one="[id]", add="list_append(up.path, s.id)", has="list_contains(up.path, s.id)"),
-    {"spark.sql.cteRecursionRowLimit": "-1"},
+    _above,
 )
 _put("r_union", "SELECT kind FROM {symbols} UNION SELECT kind FROM {symbol_refs}")
 _put("r_union_all", "SELECT path FROM {file_revs} UNION ALL SELECT path FROM {diffs}")

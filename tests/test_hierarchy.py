@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from strata import core_queries
+from strata import core_queries, sql_queries
 from strata.operators import hierarchy as H
 
 
@@ -213,3 +213,62 @@ def test_all_descendants(spark, name):
         want |= {(x, s) for x in seen - {s}}
     got = [tuple(r) for r in H.all_descendants(frame(spark, CASES[name])).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+#: Trees, merges, loops, ways into loops, self-loops, repeated edges and edges without a child or a parent.
+CLIMBS = {
+    "odd": [(1, 2), (2, 3), (3, None), (4, 4), (5, 4), (6, 7), (7, 8), (8, 6), (9, 6), (10, 9), (None, 1), (None, 99), (None, None), (11, 12), (11, 13), (12, 14), (13, 14), (14, 15), (15, 12), (16, 11), (16, 11), (20, 21), (20, 21), (-5, -9), (-9, 2**62)],
+    "chain": [(i, i + 1) for i in range(1, 40)],
+    "none": [(None, None), (1, None)],
+}
+for seed in range(3):
+    r = random.Random(seed)
+    CLIMBS[f"random{seed}"] = [(r.choice([*range(1, 13), None]), r.choice([*range(1, 13), None])) for _ in range(14)]
+
+
+@pytest.mark.parametrize("name, bound", [*((n, H.MAX_COMPONENT) for n in CLIMBS), ("odd", 2), ("chain", 2), ("random0", 2)])
+def test_climbs_are_the_rows_of_the_recursive_query(spark, name, bound):
+    from collections import Counter
+
+    duckdb = pytest.importorskip("duckdb")
+    edges = CLIMBS[name]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (id BIGINT, parent_id BIGINT)")
+    con.executemany("INSERT INTO s VALUES (?, ?)", edges)
+    sql = sql_queries.SQL["r_recursive"]
+    want = con.execute("WITH RECURSIVE " + sql[sql.rindex("up(id, above") :].replace("v_symbols", "s")).fetchall()
+    got = H.climbed(spark.createDataFrame(edges, "child long, parent long"), bound)
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_climbs_over_whole_components_at_once():
+    """Batches are cut at the ends of components only, wherever they are cut themselves."""
+    import pyarrow as pa
+
+    comp = [0] * 3 + [7] * 40 + [9] * 2 + [11] * 30
+    child = list(range(len(comp)))
+    parent = [i + 1 if i + 1 < len(comp) and comp[i + 1] == comp[i] else 1000 + i for i in child]
+    want = sum(n * (n + 1) // 2 for n in (3, 40, 2, 30))
+    kept, H.CLIMBED = H.CLIMBED, 5
+    try:
+        for size in (1, 2, 7, 75):
+            rows = pa.record_batch([pa.array(x, pa.int64()) for x in (comp, child, parent)], names=["component", "child", "parent"])
+            got = [b for b in H._climb(rows.slice(i, size) for i in range(0, len(comp), size))]
+            assert sum(b.num_rows for b in got) == want
+    finally:
+        H.CLIMBED = kept
+
+
+def test_recursive_query_shuffles_the_table_once(spark, tmp_path):
+    """However deep the symbols are; the rows are those of the recursive SQL, repeated rows of the table counting once."""
+    from strata import model
+    from strata.engine import Engine
+
+    rows = [(i, 1, i - 1 if i % 30 else None, f"n{i}", "f", 1, 1, 1, 1, None, None, None) for i in range(1, 60)]
+    rows += [rows[5], (*rows[7][:3], "other name", *rows[7][4:])]
+    e = Engine(spark, {"symbols": spark.createDataFrame(rows, model.SCHEMAS["symbols"]).distinct()})
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    got = sql_queries._above(e).collect()
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before < 30
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    assert sorted(got) == sorted(e.sql(sql_queries.TEXT["r_recursive"]).collect()) and len(got) > 800
