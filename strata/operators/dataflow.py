@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.runtime import cut
+
 #: Lines of each side that a diff text holds.
 DIFF_LINES = 100
 
@@ -59,3 +61,29 @@ def counters(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
         one = tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
         out = one if out is None else out.union(one)
     return out
+
+
+#: Numbers of a block of a series, as a power of 2: what is listed at once. Blocks that a task makes, where the series is long, and the most tasks.
+BLOCK_BITS, BLOCKS, MOST_TASKS = 16, 256, 2_000
+
+
+def counted_series(rows: DataFrame, key: str, counted: str) -> DataFrame:
+    """(n, count) for every whole number n from the smallest to the largest key of rows: how many of its rows have a value in counted.
+
+    What comes out has as many rows as that range has numbers. Only the counts and the first numbers of blocks are shuffled: each of them makes itself and, with a zero,
+    all numbers up to the next, in tasks as many as the range asks for. An array of the whole series, as sequence makes it, has a limit.
+    """
+    spark = rows.sparkSession
+    counts = cut(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("n")).agg(F.count(counted).alias("count")))
+    lo, hi = counts.agg(F.min("n"), F.max("n")).first()
+    if lo is None:
+        return counts
+    first, end = lo >> BLOCK_BITS, (hi >> BLOCK_BITS) + 1
+    parts = min(end - first, max(int(spark.conf.get("spark.sql.shuffle.partitions")), min((end - first) // BLOCKS, MOST_TASKS)))
+    starts = spark.range(first, end).select(F.greatest(F.lit(lo), F.shiftleft("id", BLOCK_BITS)).alias("n"), F.lit(0).cast("long").alias("count"))
+    marks = counts.union(starts).withColumn("block", F.shiftright("n", BLOCK_BITS)).repartition(parts, "block")
+    # a start that is a key too comes before it, and makes nothing
+    upto = F.lead("n").over(Window.partitionBy("block").orderBy("n", "count")) - 1
+    spans = marks.withColumn("last", F.coalesce(upto, F.least(F.lit(hi), F.shiftleft("block", BLOCK_BITS) + ((1 << BLOCK_BITS) - 1)))).where("last >= n")
+    made = spans.select(F.explode(F.sequence("n", "last")).alias("i"), "n", "count")
+    return made.select(F.col("i").alias("n"), F.when(F.col("i") == F.col("n"), F.col("count")).otherwise(F.lit(0).cast("long")).alias("count"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata import model
 from strata.engine import Engine
+from strata.operators.dataflow import counted_series
 from strata.operators.hierarchy import climbed
 from strata.runtime import table
 
@@ -16,12 +17,16 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: The text of each query for the engine's sql().
 TEXT: dict[str, str] = {}
+#: What makes the rows of a query in its place.
+ROWS: dict[str, Callable[[Engine], DataFrame]] = {}
 _TABLES = ("repos", "commits", "commit_parents", "refs", "blobs", "file_revs", "diffs", "symbols", "symbol_refs", "code_docs", "diff_docs")
 
 
 def _put(name: str, sql: str, duck: str | None = None, rows: Callable[[Engine], DataFrame] | None = None) -> None:
     """sql names tables as {table}; duck is the text for DuckDB where it must differ; rows gives the rows of sql where sql itself can't over large tables."""
     TEXT[name] = sql.format(**{t: t for t in _TABLES})
+    if rows is not None:
+        ROWS[name] = rows
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = Engine.over_corpus(spark, d)
@@ -88,7 +93,7 @@ _put("r_strings", "SELECT id, length(name) AS n, upper(name) AS u, lower(name) A
 _put("r_math", "SELECT id, abs(line - 20) AS a, round(line / 7.0D, 3) AS r, least(line, col) AS lo, greatest(line, col) AS hi, line % 5 AS m, line div 5 AS d FROM {symbols} WHERE line IS NOT NULL AND col IS NOT NULL", "SELECT id, abs(line - 20) AS a, round(line / CAST(7 AS DOUBLE), 3) AS r, least(line, col) AS lo, greatest(line, col) AS hi, line % 5 AS m, line // 5 AS d FROM {symbols} WHERE line IS NOT NULL AND col IS NOT NULL")
 _put("r_dates", "SELECT id, date_format(timestamp_seconds(timestamp), 'yyyy-MM-dd') AS day, year(timestamp_seconds(timestamp)) AS y, CAST(unix_seconds(date_trunc('month', timestamp_seconds(timestamp))) AS BIGINT) AS m FROM {commits} WHERE timestamp IS NOT NULL", "SELECT id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, CAST(year(to_timestamp(timestamp) AT TIME ZONE 'UTC') AS INT) AS y, CAST(epoch(date_trunc('month', to_timestamp(timestamp) AT TIME ZONE 'UTC')) AS BIGINT) AS m FROM {commits} WHERE timestamp IS NOT NULL")
 _put("r_json", "SELECT event_id, get_json_object(props, '$.k') AS k, event_type FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events")
-_put("r_series", "SELECT s.n, count(f.id) AS files FROM (SELECT explode(sequence(lo, hi)) AS n FROM (SELECT min(blob_id) AS lo, max(blob_id) AS hi FROM {file_revs})) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n", "SELECT s.n, count(f.id) AS files FROM (SELECT unnest(range(lo, hi + 1)) AS n FROM (SELECT min(blob_id) AS lo, max(blob_id) AS hi FROM {file_revs})) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n")
+_put("r_series", "SELECT s.n, count(f.id) AS files FROM (SELECT explode(sequence(lo, hi)) AS n FROM (SELECT min(blob_id) AS lo, max(blob_id) AS hi FROM {file_revs})) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n", "SELECT s.n, count(f.id) AS files FROM (SELECT unnest(range(lo, hi + 1)) AS n FROM (SELECT min(blob_id) AS lo, max(blob_id) AS hi FROM {file_revs})) s LEFT JOIN {file_revs} f ON f.blob_id = s.n GROUP BY s.n", lambda e: counted_series(e.tables["file_revs"], "blob_id", "id").toDF("n", "files"))
 _put("r_json_each", "SELECT e.event_id, j.key, j.value FROM events e, LATERAL explode(from_json(e.props, 'map<string,string>')) AS j(key, value)", "SELECT e.event_id, j.key, json_extract_string(e.props, '$.' || j.key) AS value FROM events e, json_each(e.props) j")
 _put("r_percentile", "SELECT kind, approx_percentile(line, 0.5, 1000000) AS middle, approx_percentile(line, 0.9, 1000000) AS high FROM {symbols} WHERE line IS NOT NULL GROUP BY kind", "SELECT kind, quantile_disc(line, 0.5) AS middle, quantile_disc(line, 0.9) AS high FROM {symbols} WHERE line IS NOT NULL GROUP BY kind")
 _put("r_sample", "SELECT abs(count(*) - 0.5 * (SELECT count(*) FROM {symbol_refs})) < 0.1 * (SELECT count(*) FROM {symbol_refs}) AS near FROM {symbol_refs} TABLESAMPLE (50 PERCENT) REPEATABLE (7)", "SELECT true AS near")

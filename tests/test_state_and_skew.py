@@ -135,3 +135,34 @@ def test_entry_imports_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        [],
+        [(None, 1)],
+        [(7, None)],
+        [(0, 1), (0, 2), (1, 3), (3, None), (None, 4), (3, 5)],
+        [(65535, 1), (65536, 2), (65536, None), (200000, 3)],
+        [(-70000, 1), (-65536, None), (-1, 1), (5, 1)],
+        [(2**63 - 3, 1), (2**63 - 1, 1)],
+    ],
+)
+def test_series_counts_every_number(spark, keys):
+    found = [k for k, _ in keys if k is not None]
+    want = {n: sum(k == n and v is not None for k, v in keys) for n in (range(min(found), max(found) + 1) if found else ())}
+    got = dataflow.counted_series(spark.createDataFrame(keys, "k long, v long"), "k", "v").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == set(want.items())
+
+
+def test_series_query_over_far_keys(spark):
+    """More numbers than an array holds: the series is made block by block, of which any can be asked for."""
+    from strata import model, sql_queries
+    from strata.engine import Engine
+
+    e = Engine(spark, {"file_revs": spark.createDataFrame([(1, 1, "a", 5), (2, 1, "b", 5), (3, 1, "c", 3_000_000_000)], model.SCHEMAS["file_revs"])})
+    got = sql_queries.ROWS["r_series"](e)
+    assert [tuple(r) for r in got.limit(1).collect()] and got.columns == ["n", "files"]
+    tail = spark.createDataFrame([(k, 1) for k in (0, 2_500_000)], "k long, v long")
+    assert dataflow.counted_series(tail, "k", "v").agg(F.count("n"), F.sum("n"), F.sum("count")).first()[:] == (2_500_001, 2_500_000 * 2_500_001 // 2, 2)
